@@ -51,7 +51,7 @@ def chunk_intervals(step_seconds: int, chunk_seconds: int) -> int:
     return chunk_seconds // step_seconds
 
 
-def chunks_of_sample(sample_index: Column, intervals: int, last_sample: int) -> Column:
+def chunks_of_sample(sample_index: Column, intervals: int, last_sample: int | Column) -> Column:
     """Chunk numbers that screen a sample. Neighbouring chunks share the sample
     between them; the last sample starts no chunk of its own."""
     own = F.floor(sample_index / intervals).cast("int")
