@@ -373,19 +373,22 @@ def backfill_chunks(spark, folder):
     )
 
 
-def _landing(spark, name: str) -> str:
+def _landing(spark, folder: str, name: str) -> str:
     """A folder for this job's own files beside the checkpoints, on shared storage."""
-    return f"{checkpoint_dir(spark)}/landed_{spark.sparkContext.applicationId}/{name}"
+    tables = folder.strip("/").replace("/", "_")
+    return f"{checkpoint_dir(spark)}/landed_{spark.sparkContext.applicationId}/{tables}/{name}"
 
 
 @query(with_views(SATCAT) + f"SELECT norad_cat_id, {FIELDS} FROM satcat_last")
 def satcat_feed_read(spark, folder):
     """The catalogue batch written as CSV and read back as a landed feed."""
-    path = _landing(spark, f"satcat_{hash(folder) & 0xFFFFFF}")
+    path = _landing(spark, folder, "satcat")
     records = satcat_records(spark, folder)
-    records.orderBy("ordinal").drop("ordinal").coalesce(1).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    # Ranges in file order keep the order of records without one task writing all.
+    ranged = records.repartitionByRange("ordinal").sortWithinPartitions("ordinal").drop("ordinal")
+    ranged.write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
     return C.last_per_key(C.satcat_objects(feeds.read_satcat_csv(spark, path)))
 
 
@@ -396,7 +399,7 @@ def satcat_feed_read(spark, folder):
 )
 def gp_feed_read(spark, folder):
     """Element sets written as JSON arrays and read back, current ones only."""
-    path = _landing(spark, f"gp_{hash(folder) & 0xFFFFFF}")
+    path = _landing(spark, folder, "gp")
     gp_records(spark, folder).drop("ordinal").write.mode("overwrite").json(path)
     landed = feeds.with_file_order(spark.read.schema(feeds.OMM_SCHEMA).json(path)).drop("_corrupt_record")
     now = F.timestamp_micros(F.lit(V.NOW_US + 5 * 86_400_000_000))
@@ -411,7 +414,7 @@ def gp_feed_read(spark, folder):
 )
 def run_roundtrip(spark, folder):
     """Events and run headers written, then read back through the commit mark."""
-    path = _landing(spark, f"runs_{hash(folder) & 0xFFFFFF}")
+    path = _landing(spark, folder, "runs")
     write_run(V.conjunctions(spark, folder), V.runs(spark, folder), path, "events", "runs")
     rows = read_run_rows(spark, path, "events", "runs")
     return rows.select(
