@@ -171,11 +171,11 @@ def earth_fixed(df: DataFrame, at_us: str) -> DataFrame:
         f"{TWO_PI!r}D * (_turns - floor(_turns)) AS _theta",
         "cos(_theta) AS _c",
         "sin(_theta) AS _s",
-        "_c * _x + _s * _y AS x",
-        "_c * _y - _s * _x AS y",
-        "_z AS z",
-        f"_c * _vx + _s * _vy + {turn!r}D * y AS vx",
-        f"_c * _vy - _s * _vx - {turn!r}D * x AS vy",
-        "_vz AS vz",
+        "_c * _x + _s * _y AS _fx",
+        "_c * _y - _s * _x AS _fy",
+        f"_c * _vx + _s * _vy + {turn!r}D * _fy AS _fvx",
+        f"_c * _vy - _s * _vx - {turn!r}D * _fx AS _fvy",
+    )
+    return turned.selectExpr(
+        *kept, "_fx AS x", "_fy AS y", "_z AS z", "_fvx AS vx", "_fvy AS vy", "_vz AS vz"
     )
-    return turned.select(*kept, *STATE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,7 +101,6 @@ def group_name(value: Column) -> Column:
 
 def nfkc():
     """Unicode compatibility normalisation, which Spark has no expression for."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def normalise(text: pd.Series) -> pd.Series:

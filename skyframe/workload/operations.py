@@ -258,9 +258,10 @@ DUE = f"""due_runs AS (SELECT user_id AS key, max(ts) FILTER (event_type = 'purc
     + f"""SELECT key, latest_run_id, next_due_us, due, CASE
         WHEN failing THEN CASE WHEN due THEN 'retry_due' ELSE 'retry_pending' END
         WHEN latest_run_id IS NULL THEN 'no_successful_run'
-        WHEN due THEN 'cadence_due' ELSE 'cadence_pending' END AS reason, false AS future_completion
+        WHEN due THEN 'cadence_due' ELSE 'cadence_pending' END AS reason,
+      coalesce(NOT failing AND completed_at > TIMESTAMP '2024-01-30 20:00:00', false) AS future_completion
     FROM (SELECT *, next_due_us IS NULL OR next_due_us <= epoch_us(TIMESTAMP '2024-01-30 20:00:00') AS due FROM (
-      SELECT key, run_id AS latest_run_id,
+      SELECT key, run_id AS latest_run_id, completed_at,
         failed_at IS NOT NULL AND (completed_at IS NULL OR completed_at <= failed_at) AS failing,
         CASE WHEN failing THEN epoch_us(failed_at) + least(3600, 900 * pow(2, greatest(failures, 1) - 1))::BIGINT * 1000000
           ELSE epoch_us(completed_at) + 14400000000 END AS next_due_us FROM due_runs))"""

@@ -1 +1,157 @@
-"""Queries."""
+"""Queries: streaming jobs run to completion over the given tables."""
+
+from __future__ import annotations
+
+from uuid import uuid4
+
+from pyspark.sql import functions as F
+
+from skyframe.session import checkpoint_dir
+from skyframe.streaming import jobs as J
+from skyframe.workload import views as V
+from skyframe.workload.operations import LEVEL, LOGS, log_lines
+from skyframe.workload.registry import query
+from skyframe.workload.screening import DETECTIONS, detections
+from skyframe.workload.views import ELEMENTS, EXECUTIONS, with_views
+
+
+def streamed(df, name: str, files_per_batch: int | None = None):
+    """The frame as a stream of Parquet files. Returns (stream, work folder).
+
+    Files written in parallel arrive in no set order, so a job with a watermark
+    takes them as one batch, as anything else could drop rows as late. Jobs that
+    do not mind the order take a few files per batch.
+    """
+    spark = df.sparkSession
+    work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/{name}_{uuid4().hex[:8]}"
+    df.repartition(4).write.parquet(f"{work}/input")
+    reader = spark.readStream.schema(spark.read.parquet(f"{work}/input").schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{work}/input"), work
+
+
+@query(
+    with_views(ELEMENTS)
+    + """SELECT object_id, source, epoch_us(epoch) AS epoch_us, count(*) AS copies FROM (
+      SELECT DISTINCT object_id, source, epoch FROM elements) GROUP BY ALL"""
+)
+def stream_ingest(spark, folder):
+    """Elements arrive twice; each (object, source, epoch) is stored once."""
+    elements = V.elements(spark, folder)
+    twice = elements.unionByName(elements)
+    stream, work = streamed(twice, "ingest", files_per_batch=1)
+    J.append_new_elements(stream, f"{work}/table", f"{work}/state").awaitTermination()
+    stored = spark.read.parquet(f"{work}/table")
+    return stored.groupBy("object_id", "source", F.unix_micros("epoch").alias("epoch_us")).agg(
+        F.count("*").alias("copies")
+    )
+
+
+@query(
+    with_views(ELEMENTS)
+    + "SELECT DISTINCT object_id, source, epoch_us(epoch) AS epoch_us FROM elements"
+)
+def stream_dedupe(spark, folder):
+    elements = V.elements(spark, folder)
+    stream, work = streamed(elements.unionByName(elements), "dedupe", files_per_batch=2)
+    J.run_to_table(J.fresh_elements(stream), f"{work}/table", f"{work}/state")
+    stored = spark.read.parquet(f"{work}/table")
+    return stored.select("object_id", "source", F.unix_micros("epoch").alias("epoch_us"))
+
+
+@query(
+    with_views(ELEMENTS)
+    + """SELECT object_id, element_id, source, epoch_us(epoch) AS epoch_us FROM (
+      SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY epoch DESC,
+        CASE source WHEN 'space-track' THEN 0 WHEN 'celestrak' THEN 1 ELSE 9 END, element_id DESC) AS n
+      FROM elements) WHERE n = 1"""
+)
+def stream_canonical(spark, folder):
+    """Epochs arrive late and early, over several batches."""
+    stream, work = streamed(V.elements(spark, folder), "canonical", files_per_batch=1)
+    J.run_latest(J.canonical_elements(stream), f"{work}/changes", f"{work}/state", "object_id")
+    rows = J.current_rows(spark.read.parquet(f"{work}/changes"), "object_id")
+    return rows.select("object_id", "element_id", "source", F.unix_micros("epoch").alias("epoch_us"))
+
+
+# The last days of the stream stay open until later data arrives.
+CLOSED_US = V.EVENTS_NOW_US - 3 * 86_400_000_000
+
+
+@query(
+    with_views(EXECUTIONS)
+    + f"""SELECT label, window_us, count(*) AS failures FROM (
+      SELECT label, epoch_us(date_trunc('minute', finished_at)) - unnest(range(0, 15)) * 60000000 AS window_us
+      FROM executions WHERE finished_at IS NOT NULL AND NOT success) WHERE window_us < {CLOSED_US} GROUP BY ALL"""
+)
+def stream_failures(spark, folder):
+    stream, work = streamed(V.executions(spark, folder), "failures")
+    J.run_to_table(J.failure_windows(stream), f"{work}/table", f"{work}/state")
+    counted = spark.read.parquet(f"{work}/table").filter(F.unix_micros("window_start") < CLOSED_US)
+    return counted.select("label", F.unix_micros("window_start").alias("window_us"), "failures")
+
+
+@query(
+    with_views(LOGS)
+    + f"""SELECT service_name, epoch_us(date_trunc('minute', ts)) AS window_us, count(*) AS lines,
+      count(*) FILTER ({LEVEL}) AS alarming FROM labelled WHERE epoch_us(ts) < {CLOSED_US} GROUP BY ALL"""
+)
+def stream_logs(spark, folder):
+    stream, work = streamed(log_lines(spark, folder), "logs")
+    J.run_to_table(J.log_windows(stream), f"{work}/table", f"{work}/state")
+    counted = spark.read.parquet(f"{work}/table").filter(F.unix_micros("window_start") < CLOSED_US)
+    return counted.select("service_name", F.unix_micros("window_start").alias("window_us"), "lines", "alarming")
+
+
+EPISODES_CLOSED_US = V.EPOCH_BASE_US + 6 * 86_400_000_000
+
+
+@query(
+    with_views(DETECTIONS)
+    + f""", numbered AS (SELECT *, sum(CASE WHEN gap <= 600000000 THEN 0 ELSE 1 END) OVER (
+        PARTITION BY primary_object_id, secondary_object_id ORDER BY tca_us ROWS UNBOUNDED PRECEDING) AS episode
+      FROM (SELECT *, tca_us - lag(tca_us) OVER (PARTITION BY primary_object_id, secondary_object_id ORDER BY tca_us) AS gap
+        FROM detections))
+    SELECT primary_object_id, secondary_object_id, min(miss_distance_km) AS miss_distance_km, count(*) AS merged
+    FROM numbered GROUP BY primary_object_id, secondary_object_id, episode
+    HAVING max(tca_us) < {EPISODES_CLOSED_US}"""
+)
+def stream_episodes(spark, folder):
+    rows = detections(spark, folder).withColumn("tca", F.timestamp_micros("tca_us"))
+    stream, work = streamed(rows, "episodes")
+    J.run_to_table(J.session_episodes(stream), f"{work}/table", f"{work}/state")
+    sessions = spark.read.parquet(f"{work}/table")
+    return sessions.filter(F.unix_micros("last_tca") < EPISODES_CLOSED_US).select(
+        "primary_object_id", "secondary_object_id", "miss_distance_km", "merged"
+    )
+
+
+HELD = """samples AS (SELECT 'i-' || (user_id % 4)::VARCHAR AS instance, ts, event_id % 100 > 30 AS active FROM events),
+runs AS (SELECT instance, min(ts) FILTER (active) AS since, run FROM (
+  SELECT *, count(*) FILTER (NOT active) OVER (PARTITION BY instance ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run
+  FROM samples) GROUP BY instance, run HAVING bool_or(active)),
+spans AS (SELECT *, (SELECT min(ts) FROM samples s WHERE s.instance = r.instance AND NOT s.active AND s.ts > r.since) AS ends
+  FROM runs r)"""
+
+
+@query(
+    with_views(HELD)
+    + f"""SELECT instance, ts_us, state FROM (
+      SELECT instance, epoch_us(since) AS ts_us, 'pending' AS state FROM spans
+      UNION ALL SELECT instance, epoch_us(since) + 600000000, 'firing' FROM spans
+        WHERE ends IS NULL OR epoch_us(ends) > epoch_us(since) + 600000000
+      UNION ALL SELECT instance, epoch_us(ends), 'inactive' FROM spans WHERE ends IS NOT NULL)
+    WHERE ts_us < {CLOSED_US}"""
+)
+def stream_alerts(spark, folder):
+    """State changes of held alerts."""
+    samples = V.table(spark, folder, "events").select(
+        F.concat(F.lit("i-"), (F.col("user_id") % 4).cast("string")).alias("instance"),
+        F.timestamp_micros(V.micros("ts")).alias("ts"),
+        (F.col("event_id") % 100 > 30).alias("active"),
+    )
+    stream, work = streamed(samples, "alerts")
+    J.run_to_table(J.hold_alerts(stream, 600), f"{work}/table", f"{work}/state")
+    changes = spark.read.parquet(f"{work}/table").withColumn("ts_us", F.unix_micros("ts"))
+    return changes.filter(F.col("ts_us") < CLOSED_US).select("instance", "ts_us", "state")

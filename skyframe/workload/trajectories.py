@@ -60,9 +60,9 @@ def _snapshot(spark, folder):
 
 @query(
     SNAPSHOT
-    + f"""SELECT object_id, element_id, norad_cat_id, object_name, owner, {STATUS} AS ephemeris_status,
+    + f"""SELECT fixed.object_id, element_id, norad_cat_id, object_name, owner, {STATUS} AS ephemeris_status,
       {", ".join(f"round({c}, 2) AS {c}" for c in METRES)}, {OUTCOME} AS outcome
-    FROM fixed JOIN objects ON id = object_id"""
+    FROM fixed JOIN objects ON id = fixed.object_id"""
 )
 def snapshot(spark, folder):
     return rounded(_snapshot(spark, folder), *METRES).select(
@@ -82,7 +82,7 @@ def snapshot_counts(spark, folder):
 
 @query(
     SNAPSHOT
-    + f"""SELECT object_id, norad_cat_id, object_name,
+    + f"""SELECT fixed.object_id, norad_cat_id, object_name,
       CASE replace(replace(upper(coalesce(object_type, 'UNKNOWN')), ' ', '_'), '-', '_')
         WHEN 'PAYLOAD' THEN 'PAYLOAD' WHEN 'DEBRIS' THEN 'DEBRIS' WHEN 'ROCKET_BODY' THEN 'ROCKET_BODY' ELSE 'UNKNOWN' END AS kind,
       CASE WHEN ops_status_code IS NULL THEN 'Unknown' WHEN ops_status_code = 'Z' THEN 'Z'
@@ -91,7 +91,7 @@ def snapshot_counts(spark, folder):
         END AS operational_status,
       round(sqrt(vx_m_s ** 2 + vy_m_s ** 2 + vz_m_s ** 2) / 1000.0::DOUBLE, 6) AS speed_km_s,
       round((sqrt(x_m ** 2 + y_m ** 2 + z_m ** 2) - 6378137) / 1000.0::DOUBLE, 5) AS altitude_km
-    FROM fixed JOIN objects ON id = object_id WHERE {OUTCOME} = 'rendered'"""
+    FROM fixed JOIN objects ON id = fixed.object_id WHERE {OUTCOME} = 'rendered'"""
 )
 def object_detail(spark, folder):
     details = L.object_details(_snapshot(spark, folder).filter("outcome = 'rendered'"))
