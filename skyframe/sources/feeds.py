@@ -51,7 +51,9 @@ def read_gp_json(spark: SparkSession, path: str) -> DataFrame:
     records = with_file_order(raw)
     if records.isEmpty():
         raise ValueError("element-set JSON holds no records")
-    broken = F.raise_error(F.format_string("broken record: %s", F.col("_corrupt_record")))
+    broken = F.raise_error(
+        F.format_string("broken record of %s: %s", F.col("NORAD_CAT_ID"), F.col("_corrupt_record"))
+    )
     return records.filter(
         F.when(F.col("_corrupt_record").isNull(), F.lit(True)).otherwise(broken.cast("boolean"))
     ).drop("_corrupt_record")

@@ -138,7 +138,7 @@ def hold_alerts(samples: DataFrame, hold_seconds: int, lateness: str = "1 minute
             self.handle = handle
             self.current = handle.getValueState("current", HOLD_STATE)
 
-        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
             (instance,) = key
             active, since = self.current.get() if self.current.exists() else (False, None)
             since = pd.Timestamp(since) if since is not None else None
@@ -161,7 +161,7 @@ def hold_alerts(samples: DataFrame, hold_seconds: int, lateness: str = "1 minute
                 self.handle.registerTimer(int((since + hold).timestamp() * 1000) + 1)
             yield pd.DataFrame(changes, columns=["instance", "ts", "state"])
 
-        def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
             (instance,) = key
             active, since = self.current.get()
             changes = []

@@ -15,36 +15,34 @@ from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.views import CONJUNCTIONS, ELEMENTS, OBJECTS, RUNS, with_views
 
-KEY = F.col("o_orderkey")
-
-
 def satcat_records(spark, folder):
     """One catalogue record per order, about half of them for unknown objects."""
+    key = F.col("o_orderkey")
     orders = V.table(spark, folder, "orders")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     rank = F.col("o_orderpriority")
     blank = F.lit(None).cast("string")
     return orders.select(
-        F.when(KEY % 7 == 0, "  ").otherwise(F.concat(F.lit(" SAT-"), KEY.cast("string"), F.lit(" "))).alias("OBJECT_NAME"),
-        F.concat(F.lit("D-"), KEY.cast("string")).alias("OBJECT_ID"),
+        F.when(key % 7 == 0, "  ").otherwise(F.concat(F.lit(" SAT-"), key.cast("string"), F.lit(" "))).alias("OBJECT_NAME"),
+        F.concat(F.lit("D-"), key.cast("string")).alias("OBJECT_ID"),
         (F.col("o_custkey") * 2 + 10000).cast("string").alias("NORAD_CAT_ID"),
         F.when(rank == "1-URGENT", "PAY").when(rank == "2-HIGH", " r/b ").when(rank == "3-MEDIUM", "deb")
         .when(rank == "4-NOT SPECIFIED", "rocket stage").alias("OBJECT_TYPE"),
         F.col("o_orderstatus").alias("OPS_STATUS_CODE"),
-        F.when(KEY % 5 == 0, "").otherwise("US").alias("OWNER"),
+        F.when(key % 5 == 0, "").otherwise("US").alias("OWNER"),
         day.alias("LAUNCH_DATE"),
         F.lit(" AFETR").alias("LAUNCH_SITE"),
         F.when(F.col("o_orderstatus") == "F", F.concat(day, F.lit("T00:00:00")))
         .when(F.col("o_orderstatus") == "P", "n/a").otherwise("").alias("DECAY_DATE"),
-        F.when(KEY % 3 == 0, "bad").otherwise((KEY % 1000).cast("string")).alias("PERIOD"),
-        F.concat(F.lit(" "), (KEY % 98).cast("string"), F.lit(".5 ")).alias("INCLINATION"),
-        (KEY % 900).cast("string").alias("APOGEE"),
+        F.when(key % 3 == 0, "bad").otherwise((key % 1000).cast("string")).alias("PERIOD"),
+        F.concat(F.lit(" "), (key % 98).cast("string"), F.lit(".5 ")).alias("INCLINATION"),
+        (key % 900).cast("string").alias("APOGEE"),
         F.lit("").alias("PERIGEE"),
         blank.alias("RCS"),
         blank.alias("DATA_STATUS_CODE"),
-        F.when(KEY % 10 == 0, "MO").otherwise(" EA").alias("ORBIT_CENTER"),
-        F.when(KEY % 4 == 0, "IMP").otherwise("ORB").alias("ORBIT_TYPE"),
-        KEY.alias("ordinal"),
+        F.when(key % 10 == 0, "MO").otherwise(" EA").alias("ORBIT_CENTER"),
+        F.when(key % 4 == 0, "IMP").otherwise("ORB").alias("ORBIT_TYPE"),
+        key.alias("ordinal"),
     )
 
 
@@ -108,6 +106,7 @@ def satcat_report(spark, folder):
 
 def gp_records(spark, folder):
     """One element-set record per order; the lower numbers are unknown objects."""
+    key = F.col("o_orderkey")
     orders = V.table(spark, folder, "orders")
     c = F.floor(F.col("o_custkey") / 2)
     blank = F.lit(None).cast("string")
@@ -116,28 +115,28 @@ def gp_records(spark, folder):
         "INCLINATION": 30.0 + c % 70,
         "RA_OF_ASC_NODE": (c % 360).cast("double"),
         "ECCENTRICITY": (c % 100) / 10000.0,
-        "ARG_OF_PERICENTER": (KEY % 360).cast("double"),
-        "MEAN_ANOMALY": (KEY % 359).cast("double"),
+        "ARG_OF_PERICENTER": (key % 360).cast("double"),
+        "MEAN_ANOMALY": (key % 359).cast("double"),
         "MEAN_MOTION": 12.0 + c % 4,
-        "ELEMENT_SET_NO": KEY % 1000,
-        "REV_AT_EPOCH": KEY % 50000,
+        "ELEMENT_SET_NO": key % 1000,
+        "REV_AT_EPOCH": key % 50000,
     }
     stamp = F.date_format(F.timestamp_micros(V.epoch_us()), "yyyy-MM-dd'T'HH:mm:ss")
     return orders.select(
         *[value.cast("string").alias(name) for name, value in text.items()],
-        F.when(KEY % 6 == 0, "").otherwise(F.concat(F.lit("GP-"), KEY.cast("string"))).alias("OBJECT_NAME"),
-        F.when(KEY % 2 == 0, F.concat(F.lit("X-"), KEY.cast("string"))).alias("OBJECT_ID"),
-        F.when(KEY % 3 == 0, "pay").when(KEY % 3 == 1, "").alias("OBJECT_TYPE"),
-        F.when(KEY % 5 == 0, "FR").alias("COUNTRY_CODE"),
-        F.when(KEY % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("LAUNCH_DATE"),
+        F.when(key % 6 == 0, "").otherwise(F.concat(F.lit("GP-"), key.cast("string"))).alias("OBJECT_NAME"),
+        F.when(key % 2 == 0, F.concat(F.lit("X-"), key.cast("string"))).alias("OBJECT_ID"),
+        F.when(key % 3 == 0, "pay").when(key % 3 == 1, "").alias("OBJECT_TYPE"),
+        F.when(key % 5 == 0, "FR").alias("COUNTRY_CODE"),
+        F.when(key % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("LAUNCH_DATE"),
         F.lit("").alias("DECAY_DATE"),
-        F.when(KEY % 2 == 0, F.concat(stamp, F.lit("Z"))).otherwise(stamp).alias("EPOCH"),
+        F.when(key % 2 == 0, F.concat(stamp, F.lit("Z"))).otherwise(stamp).alias("EPOCH"),
         blank.alias("MEAN_MOTION_DOT"),
         F.lit("").alias("MEAN_MOTION_DDOT"),
-        F.when(KEY % 2 == 1, "0.00025").alias("BSTAR"),
+        F.when(key % 2 == 1, "0.00025").alias("BSTAR"),
         F.lit("0").alias("EPHEMERIS_TYPE"),
         F.lit("U").alias("CLASSIFICATION_TYPE"),
-        KEY.alias("ordinal"),
+        key.alias("ordinal"),
     )
 
 
