@@ -25,7 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         shared = os.path.join(warehouse.removeprefix("file:"), "_checkpoints")
     context.setCheckpointDir(shared)
-    return shared
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

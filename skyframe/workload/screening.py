@@ -490,7 +490,7 @@ def episodes(spark, folder):
 
 
 STRAIGHT_GAPS = f"""gaps AS (
-  SELECT o_orderkey AS primary_object_id, o_orderkey + 1 AS secondary_object_id, 2 AS position,
+  SELECT o_orderkey AS primary_object_id, o_orderkey + 1 AS secondary_object_id,
     {EPOCH_BASE_US} AS from_us,
     {EPOCH_BASE_US} + (1 + round(o_totalprice * 100)::BIGINT % 120) * 1000000 AS to_us FROM orders
 ), lines AS (
@@ -530,7 +530,6 @@ def continuity(spark, folder):
     gaps = orders.select(
         k.alias("primary_object_id"),
         (k + 1).alias("secondary_object_id"),
-        F.lit(2).alias("position"),
         F.lit(EPOCH_BASE_US).alias("from_us"),
         (EPOCH_BASE_US + (1 + cents % 120) * 1_000_000).alias("to_us"),
     )

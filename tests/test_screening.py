@@ -186,8 +186,8 @@ def test_run_is_written_once_however_often(spark, work):
 
 def gaps(spark, seconds):
     return spark.createDataFrame(
-        [(1, 2, 2, US, US + int(seconds * 1e6))],
-        "primary_object_id long, secondary_object_id long, position int, from_us long, to_us long",
+        [(1, 2, US, US + int(seconds * 1e6))],
+        "primary_object_id long, secondary_object_id long, from_us long, to_us long",
     )
 
 
@@ -258,6 +258,14 @@ def test_connected_detections_are_one_episode(spark, gap):
     assert (best.miss_distance_km, best.merged, best.primary_object_id) == (1.0, 2, 1)
 
 
+@pytest.mark.parametrize("slice_seconds", [1, 86_400])
+def test_a_busy_pair_is_the_same_in_any_slices(spark, slice_seconds):
+    times = [0, 5, 5, 14, 30, 31, 60, 75, 90, 200]
+    rows = event_rows(spark, [(1, 2, float(t), 1.0 + i) for i, t in enumerate(times)])
+    got = E.merge_episodes(rows, E.within_gap(10), slice_seconds).orderBy("tca_us").collect()
+    assert [((r.tca_us - US) // 10**6, r.merged) for r in got] == [(0, 4), (30, 2), (60, 1), (75, 1), (90, 1), (200, 1)]
+
+
 def test_exits_and_other_pairs_stay_apart(spark):
     rows = event_rows(spark, [(1, 2, 10.0, 2.0), (1, 2, 20.0, 1.0), (1, 3, 10.0, 1.0)])
     never = lambda g: g.withColumn("linked", F.lit(False))
