@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skyframe import constants as K
-from skyframe.functions.motion import altitude_km, speed_km_s, vec
+from skyframe.functions.motion import altitude_km, speed_km_s
 from skyframe.functions.text import display_kind, operational_status, strip
 
 

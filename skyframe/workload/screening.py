@@ -10,7 +10,6 @@ from skyframe import constants as K
 from skyframe.functions.orbit import STATE, KeplerJ2, StraightLine
 from skyframe.operators import episodes as E
 from skyframe.operators import propagation as P
-from skyframe.operators import refinement as R
 from skyframe.operators import screening as S
 from skyframe.operators import selection as Sel
 from skyframe.operators.spatial import fixed_radius_pairs
@@ -21,7 +20,6 @@ from skyframe.workload.selection import CANONICAL, JUDGED, STATUS
 from skyframe.workload.views import (
     ELEMENTS,
     EPOCH_BASE_US,
-    NOW_SQL,
     NOW_US,
     OBJECTS,
     STRAIGHT_STATES,
