@@ -16,7 +16,7 @@ from skyframe.operators.sliced import (
     earlier_slices,
     in_slice,
     inherit,
-    up_to_here,
+    up_to_now,
     with_previous,
     with_slice,
 )
@@ -34,7 +34,7 @@ def counter_deltas(series: DataFrame, labels: list[str], slice_seconds: int = SL
 
     The first sample of a series has no delta, as nothing is known before it.
     """
-    rows = with_previous(with_slice(series, "ts", slice_seconds), labels, ["ts"], "value", "_before")
+    rows = with_previous(with_slice(series, "ts", slice_seconds), labels, ["ts", "value"], "value", "_before")
     before = F.col("_before")
     grown = F.when(F.col("value") >= before, F.col("value") - before).when(before.isNotNull(), F.col("value"))
     return rows.withColumn("delta", grown).drop("_before", SLICE)
@@ -61,14 +61,14 @@ def hold_for(
     Gaps and islands: the begin of the current run is the last sample that turned
     active, in this slice or an earlier one.
     """
-    rows = with_previous(with_slice(samples, "ts", slice_seconds), labels, ["ts"], "active", "_was")
+    rows = with_previous(with_slice(samples, "ts", slice_seconds), labels, ["ts", "active"], "active", "_was")
     turned = F.col("active") & ~F.coalesce("_was", F.lit(False))
     rows = rows.withColumn("_turned", F.when(turned, F.col("ts"))).drop("_was")
     rows = inherit(
         rows, labels, {"_newest": F.max("_turned")},
         {"_earlier": F.max("_newest").over(earlier_slices(labels))},
     )
-    here = F.max("_turned").over(up_to_here(in_slice(labels, "ts")))
+    here = F.max("_turned").over(up_to_now(in_slice(labels, "ts")))
     since = F.when(F.col("active"), F.coalesce(here, F.col("_earlier")))
     held = (F.unix_micros("ts") - F.unix_micros("active_since")) >= hold_seconds * MICROS
     state = (

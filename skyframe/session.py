@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +16,36 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only when none is set."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        shared = os.path.join(warehouse.removeprefix("file:"), "_checkpoints")
-    context.setCheckpointDir(shared)
-    return context.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without one, a local master gets a folder below its warehouse. Any other master
+    is refused: a folder on one machine loses data between machines.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+    return os.path.join(warehouse.removeprefix("file:"), "_checkpoints")
+
+
+def new_folder(spark: SparkSession, name: str = "stage") -> str:
+    """A path in the shared folder that nothing has used yet."""
+    application = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark)}/stages_{application}/{name}_{uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    This cuts the lineage like a checkpoint, but keeps column pruning, pushed filters
+    and statistics for the steps that read it, and evaluates the last stage once.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
