@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import simhash
+from skyframe.llm import bpe, simhash, token_output
 from skyframe.llm.common import table
+from skyframe.session import new_folder
+
+#: The tokenizer of the queries. Its file is found by the installed package.
+TOKENIZER = "word_bpe_49k.json"
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -18,5 +22,29 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Run] = {"op7_simhash": op7_simhash}
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = bpe.encode_documents(docs, tokenizer_path(), decoded=True)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark, "tokens")
+    token_output.write_token_shards(table(spark, folder, "documents"), files, tokenizer_path())
+    found = token_output.read_token_shards(spark, files)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Run] = {"op5_bpe": op5_bpe, "op7_simhash": op7_simhash, "op9_token_output": op9_token_output}
 ORACLES: dict[str, str] = {}
