@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, simhash, token_output
+from skyframe.llm import bpe, mixing, sharding, simhash, token_output
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -28,6 +28,55 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    sharded = sharding.shard_records(table(spark, folder, "documents").select("doc_id", "text"), shards=8)
+    return sharded.select(
+        "doc_id",
+        sharding.row_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    return mixing.mix(docs).select(*columns, F.round("first_position", 9).alias("first_position"))
+
+
+MIXING_SQL = """
+WITH words AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
+         md5(coalesce(doc_id::varchar, '')) AS k, md5(text) AS tk FROM documents),
+sources AS (SELECT source, sum(size)::bigint AS source_size FROM words GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM sources),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][(r - 1) % 3 + 1]::double AS w, 2.0::double * source_size AS most FROM ranked),
+levels AS (
+  SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS level
+  FROM weighed WINDOW before AS (ORDER BY most / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, r,
+    least(most, coalesce(w * (SELECT min_by(level, (most / w, r)) FROM levels WHERE most / w > level), most)) AS target
+  FROM levels),
+placed AS (
+  SELECT doc_id, size, source_size, target, r, floor(target + 0.5) AS wanted,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, tk NULLS FIRST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM words d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+takes AS (
+  SELECT *, greatest(0, least(size, wanted - begins)) AS first_take, greatest(0, least(size, wanted - begins - source_size)) AS second_take,
+    [1.5, 1.0, 0.5][(r - 1) % 3 + 1]::double AS a, [0.5, 1.0, 1.5][(r - 1) % 3 + 1]::double AS b FROM placed)
+SELECT doc_id, size::bigint AS size, source_size, target, (first_take + second_take)::bigint AS taken,
+  CASE WHEN first_take > 0 THEN round(CASE WHEN a = b THEN (begins + first_take / 2) / wanted
+    ELSE (sqrt(a * a + 2 * (b - a) * (begins + first_take / 2) / wanted * (a + b) / 2) - a) / (b - a) END, 9) END AS first_position
+FROM takes
+"""
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = bpe.encode_documents(docs, tokenizer_path(), decoded=True)
@@ -46,5 +95,11 @@ def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Run] = {"op5_bpe": op5_bpe, "op7_simhash": op7_simhash, "op9_token_output": op9_token_output}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Run] = {
+    "op1_sharding": op1_sharding,
+    "op3_mixing": op3_mixing,
+    "op5_bpe": op5_bpe,
+    "op7_simhash": op7_simhash,
+    "op9_token_output": op9_token_output,
+}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
