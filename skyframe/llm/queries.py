@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, mixing, sharding, simhash, token_output
+from skyframe.llm import bpe, mixing, quality, secrets, sharding, simhash, token_output
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -17,6 +17,13 @@ TOKENIZER = "word_bpe_49k.json"
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, folder, "labels")))
+    good = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", good.alias("predicted"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, folder, "documents"))
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -95,11 +102,25 @@ def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op9_token_output": op9_token_output,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
