@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, mixing, quality, secrets, sharding, simhash, token_output
+from skyframe.llm import bpe, mixing, quality, secrets, sharding, simhash, token_output, topk
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -95,6 +95,22 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), every=100)
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS e, row_number() OVER () AS mark
+  FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+scored AS (
+  SELECT q.vec_id AS query_id, q.mark, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.mark <> c.mark),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, mark ORDER BY score DESC, vec_id)::int AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
     files = new_folder(spark, "tokens")
     token_output.write_token_shards(table(spark, folder, "documents"), files, tokenizer_path())
@@ -120,7 +136,8 @@ QUERIES: dict[str, Run] = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_topk": op8_topk,
     "op9_token_output": op9_token_output,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op8_topk": TOPK_SQL}
