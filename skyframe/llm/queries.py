@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, mixing, quality, secrets, sharding, simhash, token_output, topk
+from skyframe.llm import bpe, html_text, mixing, quality, secrets, sharding, simhash, token_output, topk
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -84,6 +84,11 @@ FROM takes
 """
 
 
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = bpe.encode_documents(docs, tokenizer_path(), decoded=True)
@@ -133,6 +138,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
