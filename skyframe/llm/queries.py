@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, html_text, mixing, quality, secrets, sharding, simhash, token_output, topk
+from skyframe.llm import bpe, embedding_dedup, html_text, mixing, quality, secrets, sharding, simhash, token_output, topk
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -48,6 +48,26 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::double[] AS e, coalesce(len(embedding) > 0 AND list_bool_and(list_transform(embedding,
+    lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS fit
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.fit AND b.fit AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+  least(vec_id, coalesce((SELECT min(b) FROM reached WHERE a = vec_id), vec_id)) AS component_id,
+  vec_id <= coalesce((SELECT min(b) FROM reached WHERE a = vec_id), vec_id) AS kept
+FROM v
+"""
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     columns = ["doc_id", "size", "source_size", "target", "taken"]
@@ -89,6 +109,19 @@ def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: The given pages mark their article; markup is taken out and character references of the
+#: tables are decoded by plain replacements.
+HTML_SQL = """
+WITH inner_html AS (
+  SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '') AS t FROM pages),
+plain AS (
+  SELECT page_id, url, replace(replace(replace(replace(regexp_replace(regexp_replace(t, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM inner_html),
+joined AS (SELECT page_id, url, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = bpe.encode_documents(docs, tokenizer_path(), decoded=True)
@@ -137,6 +170,7 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mixing": op3_mixing,
     "op4_html_text": op4_html_text,
     "op5_bpe": op5_bpe,
@@ -146,4 +180,9 @@ QUERIES: dict[str, Run] = {
     "op9_token_output": op9_token_output,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op8_topk": TOPK_SQL}
+ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": EMBEDDING_SQL,
+    "op3_mixing": MIXING_SQL,
+    "op4_html_text": HTML_SQL,
+    "op8_topk": TOPK_SQL,
+}
