@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     sparse = rows.mapInArrow(examples, "id long, y int, at binary, x binary")
     model = sparse.repartition(1).sortWithinPartitions(F.xxhash64("id")).mapInArrow(learn, "weights binary").first()
-    return np.frombuffer(model["weights"], np.float32)
+    return np.frombuffer(model["weights"], np.float32) if model else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_column: str = "text") -> DataFrame:
