@@ -83,41 +83,41 @@ FEED_MAX_RECORDS_SCHEDULED = 40_000
 FEED_MAX_RECORDS_MANUAL = 500
 CURRENT_GP_MAX_AGE_DAYS = 10
 
-# Group name -> tags, each "namespace:tag".
+# Group name -> tags, each ("namespace", "tag").
 GROUP_TAGS = {
-    "STATIONS": ("special:space_station",),
-    "WEATHER": ("mission:weather",),
-    "RESOURCE": ("mission:earth_observation",),
-    "SARSAT": ("mission:search_and_rescue",),
-    "DMC": ("mission:disaster_monitoring", "mission:earth_observation"),
-    "TDRSS": ("mission:data_relay", "mission:communications"),
-    "ARGOS": ("mission:data_collection",),
-    "PLANET": ("mission:earth_observation", "constellation:planet"),
-    "INTELSAT": ("mission:communications", "operator:intelsat"),
-    "SES": ("mission:communications", "operator:ses"),
-    "EUTELSAT": ("mission:communications", "operator:eutelsat"),
-    "TELESAT": ("mission:communications", "operator:telesat"),
-    "STARLINK": ("mission:communications", "constellation:starlink"),
-    "ONEWEB": ("mission:communications", "constellation:oneweb"),
-    "QIANFAN": ("mission:communications", "constellation:qianfan"),
-    "HULIANWANG": ("mission:communications", "constellation:hulianwang"),
-    "KUIPER": ("mission:communications", "constellation:kuiper"),
-    "IRIDIUM-NEXT": ("mission:communications", "constellation:iridium_next"),
-    "ORBCOMM": ("mission:communications", "constellation:orbcomm"),
-    "GLOBALSTAR": ("mission:communications", "constellation:globalstar"),
-    "AMATEUR": ("mission:amateur_radio",),
-    "GNSS": ("mission:navigation",),
-    "GPS-OPS": ("mission:navigation", "constellation:gps"),
-    "GLO-OPS": ("mission:navigation", "constellation:glonass"),
-    "GALILEO": ("mission:navigation", "constellation:galileo"),
-    "BEIDOU": ("mission:navigation", "constellation:beidou"),
-    "SBAS": ("mission:navigation", "mission:augmentation"),
-    "SCIENCE": ("mission:scientific",),
-    "GEODETIC": ("mission:scientific", "mission:geodetic"),
-    "EDUCATION": ("mission:education",),
-    "MILITARY": ("mission:military",),
-    "RADAR": ("special:radar_calibration",),
-    "CUBESAT": ("form_factor:cubesat",),
+    "STATIONS": (("special", "space_station"),),
+    "WEATHER": (("mission", "weather"),),
+    "RESOURCE": (("mission", "earth_observation"),),
+    "SARSAT": (("mission", "search_and_rescue"),),
+    "DMC": (("mission", "disaster_monitoring"), ("mission", "earth_observation")),
+    "TDRSS": (("mission", "data_relay"), ("mission", "communications")),
+    "ARGOS": (("mission", "data_collection"),),
+    "PLANET": (("mission", "earth_observation"), ("constellation", "planet")),
+    "INTELSAT": (("mission", "communications"), ("operator", "intelsat")),
+    "SES": (("mission", "communications"), ("operator", "ses")),
+    "EUTELSAT": (("mission", "communications"), ("operator", "eutelsat")),
+    "TELESAT": (("mission", "communications"), ("operator", "telesat")),
+    "STARLINK": (("mission", "communications"), ("constellation", "starlink")),
+    "ONEWEB": (("mission", "communications"), ("constellation", "oneweb")),
+    "QIANFAN": (("mission", "communications"), ("constellation", "qianfan")),
+    "HULIANWANG": (("mission", "communications"), ("constellation", "hulianwang")),
+    "KUIPER": (("mission", "communications"), ("constellation", "kuiper")),
+    "IRIDIUM-NEXT": (("mission", "communications"), ("constellation", "iridium_next")),
+    "ORBCOMM": (("mission", "communications"), ("constellation", "orbcomm")),
+    "GLOBALSTAR": (("mission", "communications"), ("constellation", "globalstar")),
+    "AMATEUR": (("mission", "amateur_radio"),),
+    "GNSS": (("mission", "navigation"),),
+    "GPS-OPS": (("mission", "navigation"), ("constellation", "gps")),
+    "GLO-OPS": (("mission", "navigation"), ("constellation", "glonass")),
+    "GALILEO": (("mission", "navigation"), ("constellation", "galileo")),
+    "BEIDOU": (("mission", "navigation"), ("constellation", "beidou")),
+    "SBAS": (("mission", "navigation"), ("mission", "augmentation")),
+    "SCIENCE": (("mission", "scientific"),),
+    "GEODETIC": (("mission", "scientific"), ("mission", "geodetic")),
+    "EDUCATION": (("mission", "education"),),
+    "MILITARY": (("mission", "military"),),
+    "RADAR": (("special", "radar_calibration"),),
+    "CUBESAT": (("form_factor", "cubesat"),),
 }
 
 # Operations: providers, source labels, intervals and retry policy (seconds).

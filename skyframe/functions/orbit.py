@@ -22,6 +22,8 @@ from skyframe import constants as K
 STATE = ("x", "y", "z", "vx", "vy", "vz")
 TWO_PI = 2.0 * pi
 NEWTON_STEPS = 5
+#: A larger error of the eccentric anomaly (radians) makes a state invalid.
+RESIDUAL_LIMIT = 1e-10
 # Mean sidereal angle: turns at 2000-01-01 12:00 UTC and turns per day.
 SIDEREAL_AT_J2000 = 0.7790572732640
 SIDEREAL_RATE = 1.00273781191135448
@@ -97,6 +99,7 @@ class KeplerJ2:
         for i in range(NEWTON_STEPS):
             steps.append(f"_e{i} - (_e{i} - $k_e * sin(_e{i}) - _m) / (1.0D - $k_e * cos(_e{i})) AS _e{i + 1}")
         steps += [
+            f"abs(_e{NEWTON_STEPS} - $k_e * sin(_e{NEWTON_STEPS}) - _m) AS _residual",
             f"cos(_e{NEWTON_STEPS}) AS _ce",
             f"sin(_e{NEWTON_STEPS}) AS _se",
             "cos(_peri) AS _cw",
@@ -123,6 +126,7 @@ class KeplerJ2:
         ]
         fields.append(
             "CASE WHEN _r IS NULL THEN 'elements outside the model''s range' "
+            f"WHEN NOT _residual <= {RESIDUAL_LIMIT!r}D THEN 'anomaly did not converge' "
             f"WHEN _r < {K.WGS72_RADIUS_KM!r}D THEN 'object has decayed' END AS {out}error"
         )
         # The state comes out of a one-row generator. A filter on a state column

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from math import ceil, log
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +66,13 @@ def expired_message(epoch: Column, target: Column, limits: QualityLimits = Quali
 
 
 def retry_delay_seconds(failures: Column, policy: dict[str, int]) -> Column:
-    """initial * multiplier^(n-1), capped. The exponent is clamped so that a long
-    streak cannot overflow; fewer than one failure fails the job."""
+    """initial * multiplier^(n-1), capped. The exponent stops where the maximum is
+    reached, so a long streak cannot overflow; fewer than one failure fails the job."""
     initial, multiplier, maximum = policy["initial"], policy["multiplier"], policy["maximum"]
-    exponent = F.least(failures - 1, F.lit(40)).cast("double")
+    exponent = (failures - 1).cast("double")
+    if multiplier > 1:
+        reached = ceil(log(max(maximum / initial, 1.0)) / log(multiplier)) + 1
+        exponent = F.least(exponent, F.lit(float(reached)))
     delay = F.least(F.lit(float(maximum)), initial * F.pow(F.lit(float(multiplier)), exponent))
     return F.when(
         failures <= 0, F.raise_error(F.lit("failures must be greater than zero")).cast("bigint")

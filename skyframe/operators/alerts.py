@@ -43,10 +43,15 @@ def counter_deltas(series: DataFrame, labels: list[str], slice_seconds: int = SL
 def counter_increase(
     series: DataFrame, labels: list[str], window: str = K.INCREASE_WINDOW, slide: str = "1 minute"
 ) -> DataFrame:
-    """Increase per label set and sliding window; only windows that grew."""
+    """Increase per label set and sliding window; only windows that grew.
+
+    Growth is first summed per slide, and only these sums go to the windows they lie
+    in: a row is not copied before it is aggregated."""
     deltas = counter_deltas(series, labels).filter("delta > 0")
+    summed = deltas.groupBy(F.window("ts", slide).alias("s"), *labels).agg(F.sum("delta").alias("delta"))
     return (
-        deltas.groupBy(F.window("ts", window, slide).alias("w"), *labels)
+        summed.withColumn("ts", F.col("s.start"))
+        .groupBy(F.window("ts", window, slide).alias("w"), *labels)
         .agg(F.sum("delta").alias("increase"))
         .select(*labels, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "increase")
     )

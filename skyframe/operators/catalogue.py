@@ -321,9 +321,7 @@ def type_tags(objects: DataFrame) -> DataFrame:
 
 def group_rules(spark: SparkSession) -> DataFrame:
     """The fixed rule table, one row per group with its tags (33 rows)."""
-    rows = [
-        (group, [tuple(tag.split(":", 1)) for tag in tags]) for group, tags in K.GROUP_TAGS.items()
-    ]
+    rows = [(group, list(tags)) for group, tags in K.GROUP_TAGS.items()]
     return spark.createDataFrame(rows, "group string, tags array<struct<namespace string, tag string>>")
 
 

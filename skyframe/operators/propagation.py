@@ -140,14 +140,14 @@ def propagation_totals(states: DataFrame) -> DataFrame:
 def check_work_budget(
     elements: DataFrame,
     samples: int,
-    max_objects: int = K.SCREENING_MAX_OBJECTS,
-    max_propagations: int = K.SCREENING_MAX_PROPAGATIONS,
+    max_objects: int | None = None,
+    max_propagations: int | None = None,
 ) -> int:
-    """Count the objects and refuse a run above the budget, before any work."""
+    """Count the objects; refuse a run above a budget, if one is set, before any work."""
     objects = elements.count()
-    if objects > max_objects:
+    if max_objects is not None and objects > max_objects:
         raise ValueError(f"object count {objects} exceeds the limit of {max_objects}")
-    if objects * samples > max_propagations:
+    if max_propagations is not None and objects * samples > max_propagations:
         raise ValueError(
             f"propagation workload {objects * samples} exceeds the limit of {max_propagations}"
         )

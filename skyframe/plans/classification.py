@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from skyframe import constants as K
 from skyframe.operators import catalogue as C
+from skyframe.session import materialize
 
 
 def classify(
     records: DataFrame, objects: DataFrame, elements: DataFrame, stored_tags: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(objects after, new elements, new tags) for records of every group.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(objects after, new elements, new tags, rejected records) for every group.
 
     The group is a column, so the 33 groups are one job rather than a loop. An
     object created by any group can be tagged by every group that lists it.
-    Only groups of the rule table take part.
+    Only groups of the rule table take part. Records of theirs that lack a required
+    field are the last frame: nothing is dropped unseen. The records are written once,
+    as objects, elements and tags are all mapped from them.
     """
-    known = records.filter(F.col("group").isin(*K.GROUP_TAGS))
-    complete, _ = C.split_complete(known)
+    known = materialize(records.filter(F.col("group").isin(*K.GROUP_TAGS)), "records")
+    complete, rejected = C.split_complete(known)
     after = C.upsert_gp(objects, C.gp_objects(complete))
     mapped, _ = C.attach_objects(C.gp_elements(complete), after)
     fresh = C.new_elements(mapped.drop("norad_cat_id"), elements)
     wanted = C.type_tags(objects).unionByName(C.group_tags(complete, after))
-    return after, fresh, C.new_tags(wanted, stored_tags)
+    return after, fresh, C.new_tags(wanted, stored_tags), rejected
 
 
 def classification_report(objects: DataFrame, tags: DataFrame) -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every job relies on. UTC makes naive feed epochs UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Keeps state outside the heap, however many keys a job has.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 

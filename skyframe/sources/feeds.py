@@ -51,6 +51,11 @@ def read_gp_json(spark: SparkSession, path: str) -> DataFrame:
     records = with_file_order(raw)
     if records.isEmpty():
         raise ValueError("element-set JSON holds no records")
+    return unbroken(records)
+
+
+def unbroken(records: DataFrame) -> DataFrame:
+    """The records; the job fails where a document could not be read."""
     broken = F.raise_error(
         F.format_string("broken record of %s: %s", F.col("NORAD_CAT_ID"), F.col("_corrupt_record"))
     )
@@ -60,9 +65,10 @@ def read_gp_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_group_files(spark: SparkSession, path: str) -> DataFrame:
-    """All group files of a folder partitioned as ``group=<NAME>``, in one read."""
+    """All group files of a folder partitioned as ``group=<NAME>``, in one read. A broken
+    document fails, as in ``read_gp_json``."""
     raw = spark.read.schema(OMM_SCHEMA.add("group", T.StringType())).option("multiLine", True).json(path)
-    return with_file_order(raw.withColumn("group", group_name(F.col("group")))).drop("_corrupt_record")
+    return unbroken(with_file_order(raw).withColumn("group", group_name(F.col("group"))))
 
 
 def current_gp(records: DataFrame, now: Column) -> DataFrame:
@@ -73,8 +79,8 @@ def current_gp(records: DataFrame, now: Column) -> DataFrame:
     return records.filter(optional_string(F.col("DECAY_DATE")).isNull() & young)
 
 
-def guard_record_count(records: DataFrame, maximum: int = K.FEED_MAX_RECORDS_SCHEDULED) -> DataFrame:
+def guard_record_count(records: DataFrame, maximum: int | None = None) -> DataFrame:
     """``records`` itself, or an error when it holds more than ``maximum`` rows."""
-    if records.limit(maximum + 1).count() > maximum:
+    if maximum is not None and records.limit(maximum + 1).count() > maximum:
         raise ValueError(f"feed holds more than {maximum} records")
     return records

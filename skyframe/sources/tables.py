@@ -16,8 +16,9 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     The check is an aggregation of the keys alone, made before the write.
     """
     repeated = df.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
-    if not repeated.isEmpty():
-        raise ValueError(f"rows repeat the key {keys}")
+    shown = [tuple(row) for row in repeated.limit(5).collect()]
+    if shown:
+        raise ValueError(f"rows repeat the key {keys}; some keys with their counts: {shown}")
     return df
 
 

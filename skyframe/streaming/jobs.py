@@ -6,19 +6,25 @@ query. State is bounded by watermarks wherever the result allows it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skyframe import constants as K
 from skyframe.operators.catalogue import ELEMENT_KEY
 from skyframe.operators.logs import level_counts
+from skyframe.functions.quality import MICROS
 from skyframe.operators.selection import source_priority
+from skyframe.operators.sliced import SLICE, with_previous, with_slice
+
+
+#: Days of a batch that are listed in a partition filter.
+MAX_LISTED_DAYS = 1000
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def fresh_elements(elements: DataFrame, lateness: str = "30 days") -> DataFrame:
@@ -30,25 +36,25 @@ def fresh_elements(elements: DataFrame, lateness: str = "30 days") -> DataFrame:
 def append_new_elements(elements: DataFrame, table: str, checkpoint: str):
     """Started query that appends unseen elements to a Parquet table.
 
-    A batch is written to its own partition, replaced as a whole when the batch runs
+    A batch is written to its own partitions, replaced as a whole when the batch runs
     again, and compared with the other batches only: each batch takes effect exactly
-    once. Unknown keys are found by an anti-join, whatever their age.
+    once. Unknown keys are found by an anti-join, whatever their age. The table is
+    partitioned by the day of the epoch, and a batch reads only the days it holds.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        once = batch.dropDuplicates(list(ELEMENT_KEY))
-        try:
-            stored = spark.read.parquet(table).filter(F.col("batch_id") < batch_id)
+        once = batch.dropDuplicates(list(ELEMENT_KEY)).withColumn("epoch_day", F.to_date("epoch"))
+        if path_exists(batch.sparkSession, table):
+            stored = batch.sparkSession.read.parquet(table).filter(F.col("batch_id") < batch_id)
+            days = [r[0] for r in once.select("epoch_day").distinct().limit(MAX_LISTED_DAYS + 1).collect()]
+            if len(days) <= MAX_LISTED_DAYS:  # the list prunes partitions; the join is the same without
+                stored = stored.filter(F.col("epoch_day").isin(days))
             once = once.join(stored.select(*ELEMENT_KEY), list(ELEMENT_KEY), "left_anti")
-        except Exception as error:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         (
             once.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("epoch_day", "batch_id")
             .parquet(table)
         )
 
@@ -113,73 +119,80 @@ def session_episodes(detections: DataFrame, gap: str = "10 minutes", lateness: s
     )
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HOLD_OUTPUT = "instance string, ts timestamp, state string"
-HOLD_STATE = T.StructType(
-    [T.StructField("active", T.BooleanType()), T.StructField("since", T.TimestampType())]
-)
+HOLD_STATE = "instance string, ts timestamp, active boolean, since timestamp, fired boolean, clock timestamp"
 
 
-def hold_alerts(samples: DataFrame, hold_seconds: int, lateness: str = "1 minute") -> DataFrame:
-    """State changes per instance: pending, firing when the condition has held for
-    ``hold_seconds``, inactive.
+def hold_changes(
+    samples: DataFrame, state: DataFrame, hold_seconds: int, lateness_seconds: int = 60
+) -> tuple[DataFrame, DataFrame]:
+    """(changes, next state) of held alerts after some samples (instance, ts, active).
 
-    ``samples`` has instance, ts and active, in time order per instance apart from
-    what one batch holds. A timer at the end of the hold fires the alert when no
-    further sample comes. The state is one row per instance: active, and since when
-    while it does not fire yet.
+    Changes are pending, firing when the condition has held for ``hold_seconds``, and
+    inactive. An alert fires once a sample of its instance, or the latest sample of all
+    less the lateness, lies at the end of the hold, so it also fires when no further
+    sample of its own comes. The state is one row per instance: its last sample, and
+    the begin of its run. Samples are in time order per instance apart from what one
+    call holds. Everything looks back by time slices, so an instance may have any
+    number of samples.
     """
-    hold = pd.Timedelta(seconds=hold_seconds)
-    # Timers need several column families, which only this store has.
-    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-    class Hold(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.current = handle.getValueState("current", HOLD_STATE)
-
-        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-            (instance,) = key
-            active, since = self.current.get() if self.current.exists() else (False, None)
-            since = pd.Timestamp(since) if since is not None else None
-            changes = []
-            frame = pd.concat(list(rows)).sort_values("ts")
-            for ts, now_active in zip(frame["ts"], frame["active"]):
-                if since is not None and (ts > since + hold or (now_active and ts == since + hold)):
-                    changes.append((instance, since + hold, "firing"))
-                    since = None
-                if now_active and not active:
-                    active, since = True, ts
-                    changes.append((instance, ts, "pending"))
-                elif active and not now_active:
-                    active, since = False, None
-                    changes.append((instance, ts, "inactive"))
-            self.current.update((active, since.to_pydatetime() if since is not None else None))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if since is not None:
-                self.handle.registerTimer(int((since + hold).timestamp() * 1000) + 1)
-            yield pd.DataFrame(changes, columns=["instance", "ts", "state"])
-
-        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-            (instance,) = key
-            active, since = self.current.get()
-            changes = []
-            if active and since is not None:
-                changes.append((instance, pd.Timestamp(since) + hold, "firing"))
-                self.current.update((True, None))
-            yield pd.DataFrame(changes, columns=["instance", "ts", "state"])
-
-        def close(self) -> None:
-            pass
+    key, order = ["instance"], ["ts", "fresh", "active"]
+    rows = samples.select("instance", "ts", "active", F.lit(None).cast("timestamp").alias("since"), F.lit(False).alias("fired"), F.lit(1).alias("fresh"))
+    known = state.select("instance", "ts", "active", "since", "fired", F.lit(0).alias("fresh"))
+    placed = with_previous(with_slice(known.unionByName(rows), "ts"), key, order, "active", "was")
+    turns = placed.filter((F.col("fresh") == 0) | (F.col("active") != F.coalesce("was", F.lit(False))))
+    turns = turns.withColumn("since", F.when(F.col("fresh") == 0, F.col("since")).when(F.col("active"), F.col("ts")))
+    run = F.struct("since", "fired").alias("run")
+    turns = with_previous(turns.withColumn("run", run), key, order, "run", "before").drop(SLICE)
+    hold = F.make_dt_interval(secs=F.lit(hold_seconds))
+    new = turns.filter("fresh = 1")
+    ended = new.filter(~F.col("active") & ~F.col("before.fired") & (F.col("before.since") + hold < F.col("ts")))
+    fired_late = ended.select("instance", (F.col("before.since") + hold).alias("ts"), F.lit("firing").alias("state"))
+    turned = new.select("instance", "ts", F.when(F.col("active"), "pending").otherwise("inactive").alias("state"))
+
+    clock = F.greatest(samples.agg(F.max("ts")).scalar(), state.agg(F.max("clock")).scalar())
+    newest = turns.groupBy("instance").agg(F.max_by(F.struct("active", "since", "fired"), F.struct(*order)).alias("run"))
+    last = known.unionByName(rows).groupBy("instance").agg(F.max("ts").alias("ts"))
+    # An instance that was never active has no turn.
+    runs = last.join(newest, "instance", "left").withColumn("clock", clock)
+    active, due = F.coalesce("run.active", F.lit(False)), F.col("run.since") + hold
+    reached = (F.col("ts") >= due) | (F.col("clock") - F.make_dt_interval(secs=F.lit(lateness_seconds)) > due)
+    fires = active & ~F.coalesce("run.fired", F.lit(False)) & F.coalesce(reached, F.lit(False))
+    runs = runs.withColumns({"fires": fires, "due": due})
+    fired = runs.filter("fires").select("instance", F.col("due").alias("ts"), F.lit("firing").alias("state"))
+    after = runs.select(
+        "instance", "ts", active.alias("active"), F.when(active, F.col("run.since")).alias("since"),
+        (F.col("fires") | (active & F.coalesce("run.fired", F.lit(False)))).alias("fired"), "clock",
+    )
+    return turned.unionByName(fired_late).unionByName(fired), after
 
-    return (
-        samples.withWatermark("ts", lateness)
-        .groupBy("instance")
-        .transformWithStateInPandas(
-            statefulProcessor=Hold(), outputStructType=HOLD_OUTPUT, outputMode="Append", timeMode="EventTime"
-        )
+
+def hold_alerts(samples: DataFrame, hold_seconds: int, path: str, checkpoint: str) -> None:
+    """Run a job that appends state changes of held alerts to a Parquet folder.
+
+    Each batch reads the state that the batch before wrote (a table beside the
+    checkpoint) and writes changes and state in its own partitions, replaced as a
+    whole when the batch runs again. No instance is collected into one task.
+    """
+    states = f"{checkpoint}_alerts"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = spark.createDataFrame([], HOLD_STATE)
+        if batch_id and path_exists(spark, f"{states}/batch_id={batch_id - 1}"):
+            state = spark.read.schema(HOLD_STATE).parquet(f"{states}/batch_id={batch_id - 1}")
+        rows = batch.persist()
+        changes, after = hold_changes(rows, state, hold_seconds)
+        after.write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
+        changes.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows.unpersist()
+
+    query = (
+        samples.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
 
 
 def run_to_table(frame: DataFrame, path: str, checkpoint: str) -> None:
@@ -196,17 +209,18 @@ def run_to_table(frame: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def run_latest(frame: DataFrame, path: str, checkpoint: str, key: str) -> None:
-    """Run an update-mode job, keeping each batch's changes; the newest row per key
-    over all batches is the current state."""
+    """Run an update-mode job into a table of current rows: each batch writes the table
+    of the batch before with its own changes merged in, so nothing but the newest row
+    of a key is kept. Two versions stay, the newest and the one it was made from."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        before = f"{path}/version={batch_id - 1}"
+        if path_exists(spark, before):
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(before))
+        merged(rows, key).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        drop_path(spark, f"{path}/version={batch_id - 2}")
 
     query = (
         frame.writeStream.foreachBatch(write)
@@ -218,8 +232,20 @@ def run_latest(frame: DataFrame, path: str, checkpoint: str, key: str) -> None:
     query.awaitTermination()
 
 
-def current_rows(changes: DataFrame, key: str) -> DataFrame:
-    """The state that an update-mode job has reached."""
-    columns = [c for c in changes.columns if c not in (key, "batch_id")]
+def drop_path(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def merged(changes: DataFrame, key: str) -> DataFrame:
+    """The newest row of each key by batch."""
+    columns = [c for c in changes.columns if c != key]
     newest = changes.groupBy(key).agg(F.max_by(F.struct(*columns), "batch_id").alias("r"))
-    return newest.select(key, "r.*")
+    return newest.select(key, "r.*").select(*changes.columns)
+
+
+def current_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The state that a job of ``run_latest`` has reached."""
+    stored = spark.read.parquet(path)
+    newest = stored.agg(F.max("version")).first()[0]
+    return stored.filter(F.col("version") == newest).drop("version", "batch_id")

@@ -19,11 +19,7 @@ def brief_texts(spark, folder):
     key = F.col("doc_id")
     listed = lambda values: F.array(*[F.lit(v) for v in values])
     lead = F.when(key % 3 == 0, "The primary object nears the secondary object. ").otherwise("Objects. ")
-    summary = F.when(F.col("n_chars") <= 260, F.concat(lead, F.col("text"))).otherwise(
-        F.when(key % 4 == 0, F.concat(lead, F.lit("High risk of contact remains."))).otherwise(
-            F.concat(lead, F.lit("Monitoring goes on"), F.when(key % 5 == 0, " for 3 days.").otherwise("."))
-        )
-    )
+    summary = F.concat(lead, F.when(key % 4 == 0, "High risk of contact remains. ").otherwise(""), F.col("text"))
     evidence = F.when(key % 7 == 0, listed(["tca", "tca", "method"])).otherwise(listed(["miss_distance_km"]))
     checks = F.when(key % 6 == 0, listed(K.BRIEF_RECOMMENDED_CHECKS[:2] + K.BRIEF_RECOMMENDED_CHECKS[:1])).when(
         key % 6 == 1, listed(["unheard_of"])

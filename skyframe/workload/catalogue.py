@@ -293,9 +293,9 @@ def group_records(spark, folder):
 
 
 RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{g}', '{t.split(':')[0]}', '{t.split(':')[1]}')"
-    for g, tags in K.GROUP_TAGS.items()
-    for t in (*tags, f"celestrak_group:{g.lower()}")
+    f"('{group}', '{namespace}', '{tag}')"
+    for group, tags in K.GROUP_TAGS.items()
+    for namespace, tag in (*tags, ("celestrak_group", group.lower()))
 ) + ") r(grp, namespace, tag))"
 GROUPED = f"""grouped AS (SELECT *, [{', '.join(f"'{g}'" for g in (*GROUP_LIST, 'UNLISTED'))}][ordinal % {len(GROUP_LIST) + 1} + 1] AS grp FROM gp)"""
 STORED_TAGS = "stored AS (SELECT id AS orbital_object_id, 'object_type' AS namespace, lower(object_type) AS tag FROM objects WHERE object_type IS NOT NULL)"
@@ -344,7 +344,7 @@ def classification_tags(spark, folder):
     FROM (SELECT id FROM tagged UNION SELECT id FROM objects WHERE object_type IS NOT NULL)"""
 )
 def tagged_count(spark, folder):
-    after, _, fresh = _classified(spark, folder)
+    after, _, fresh, _ = _classified(spark, folder)
     tags = C.type_tags(V.objects(spark, folder)).unionByName(fresh)
     return classification_report(after, tags)
 

@@ -24,13 +24,23 @@ def streamed(df, name: str, files_per_batch: int | None = None):
     """
     spark = df.sparkSession
     work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/{name}_{uuid4().hex[:8]}"
-    df.repartition(4).write.parquet(f"{work}/input")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts).write.parquet(f"{work}/input")
     reader = spark.readStream.schema(spark.read.parquet(f"{work}/input").schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(f"{work}/input"), work
 
 
+def closed(df, time: str, marks: dict[str, str]):
+    """``df`` and one row a year after its last: that row moves the watermark past all
+    others, so every window of theirs closes. Its own window stays open. ``marks`` are
+    SQL values of the row's other columns; the rest is null."""
+    last = df.agg((F.max(time) + F.expr("INTERVAL 1 YEAR")).alias(time)).filter(F.col(time).isNotNull())
+    marker = last.withColumns({c: F.expr(v) for c, v in marks.items()})
+    return df.unionByName(marker, allowMissingColumns=True)
+
+
 @query(
     with_views(ELEMENTS)
     + """SELECT object_id, source, epoch_us(epoch) AS epoch_us, count(*) AS copies FROM (
@@ -70,61 +80,53 @@ def stream_dedupe(spark, folder):
 def stream_canonical(spark, folder):
     """Epochs arrive late and early, over several batches."""
     stream, work = streamed(V.elements(spark, folder), "canonical", files_per_batch=1)
-    J.run_latest(J.canonical_elements(stream), f"{work}/changes", f"{work}/state", "object_id")
-    rows = J.current_rows(spark.read.parquet(f"{work}/changes"), "object_id")
+    J.run_latest(J.canonical_elements(stream), f"{work}/current", f"{work}/state", "object_id")
+    rows = J.current_rows(spark, f"{work}/current")
     return rows.select("object_id", "element_id", "source", F.unix_micros("epoch").alias("epoch_us"))
 
 
-# The last days of the stream stay open until later data arrives.
-CLOSED_US = V.EVENTS_NOW_US - 3 * 86_400_000_000
-
-
 @query(
     with_views(EXECUTIONS)
-    + f"""SELECT label, window_us, count(*) AS failures FROM (
+    + """SELECT label, window_us, count(*) AS failures FROM (
       SELECT label, epoch_us(date_trunc('minute', finished_at)) - unnest(range(0, 15)) * 60000000 AS window_us
-      FROM executions WHERE finished_at IS NOT NULL AND NOT success) WHERE window_us < {CLOSED_US} GROUP BY ALL"""
+      FROM executions WHERE finished_at IS NOT NULL AND NOT success) GROUP BY ALL"""
 )
 def stream_failures(spark, folder):
-    stream, work = streamed(V.executions(spark, folder), "failures")
+    rows = closed(V.executions(spark, folder), "finished_at", {"success": "false", "label": "'mark'"})
+    stream, work = streamed(rows, "failures")
     J.run_to_table(J.failure_windows(stream), f"{work}/table", f"{work}/state")
-    counted = spark.read.parquet(f"{work}/table").filter(F.unix_micros("window_start") < CLOSED_US)
+    counted = spark.read.parquet(f"{work}/table")
     return counted.select("label", F.unix_micros("window_start").alias("window_us"), "failures")
 
 
 @query(
     with_views(LOGS)
-    + f"""SELECT service_name, epoch_us(date_trunc('minute', ts)) AS window_us, count(*) AS lines,
-      count(*) FILTER ({LEVEL}) AS alarming FROM labelled WHERE epoch_us(ts) < {CLOSED_US} GROUP BY ALL"""
+    + """SELECT service_name, epoch_us(date_trunc('minute', ts)) AS window_us, count(*) AS lines,
+      count(*) FILTER (""" + LEVEL + """) AS alarming FROM labelled GROUP BY ALL"""
 )
 def stream_logs(spark, folder):
-    stream, work = streamed(log_lines(spark, folder), "logs")
+    stream, work = streamed(closed(log_lines(spark, folder), "ts", {"service_name": "'mark'"}), "logs")
     J.run_to_table(J.log_windows(stream), f"{work}/table", f"{work}/state")
-    counted = spark.read.parquet(f"{work}/table").filter(F.unix_micros("window_start") < CLOSED_US)
+    counted = spark.read.parquet(f"{work}/table")
     return counted.select("service_name", F.unix_micros("window_start").alias("window_us"), "lines", "alarming")
 
 
-EPISODES_CLOSED_US = V.EPOCH_BASE_US + 6 * 86_400_000_000
-
-
 @query(
     with_views(DETECTIONS)
-    + f""", numbered AS (SELECT *, sum(CASE WHEN gap <= 600000000 THEN 0 ELSE 1 END) OVER (
+    + """, numbered AS (SELECT *, sum(CASE WHEN gap <= 600000000 THEN 0 ELSE 1 END) OVER (
         PARTITION BY primary_object_id, secondary_object_id ORDER BY tca_us ROWS UNBOUNDED PRECEDING) AS episode
       FROM (SELECT *, tca_us - lag(tca_us) OVER (PARTITION BY primary_object_id, secondary_object_id ORDER BY tca_us) AS gap
         FROM detections))
     SELECT primary_object_id, secondary_object_id, min(miss_distance_km) AS miss_distance_km, count(*) AS merged
-    FROM numbered GROUP BY primary_object_id, secondary_object_id, episode
-    HAVING max(tca_us) < {EPISODES_CLOSED_US}"""
+    FROM numbered GROUP BY primary_object_id, secondary_object_id, episode"""
 )
 def stream_episodes(spark, folder):
     rows = detections(spark, folder).withColumn("tca", F.timestamp_micros("tca_us"))
-    stream, work = streamed(rows, "episodes")
+    marks = {"primary_object_id": "-1L", "secondary_object_id": "-1L"}
+    stream, work = streamed(closed(rows, "tca", marks), "episodes")
     J.run_to_table(J.session_episodes(stream), f"{work}/table", f"{work}/state")
     sessions = spark.read.parquet(f"{work}/table")
-    return sessions.filter(F.unix_micros("last_tca") < EPISODES_CLOSED_US).select(
-        "primary_object_id", "secondary_object_id", "miss_distance_km", "merged"
-    )
+    return sessions.select("primary_object_id", "secondary_object_id", "miss_distance_km", "merged")
 
 
 HELD = """samples AS (SELECT 'i-' || (user_id % 4)::VARCHAR AS instance, ts, event_id % 100 > 30 AS active FROM events),
@@ -137,21 +139,30 @@ spans AS (SELECT *, (SELECT min(ts) FROM samples s WHERE s.instance = r.instance
 
 @query(
     with_views(HELD)
-    + f"""SELECT instance, ts_us, state FROM (
+    + """SELECT instance, ts_us, state FROM (
       SELECT instance, epoch_us(since) AS ts_us, 'pending' AS state FROM spans
       UNION ALL SELECT instance, epoch_us(since) + 600000000, 'firing' FROM spans
         WHERE ends IS NULL OR epoch_us(ends) > epoch_us(since) + 600000000
-      UNION ALL SELECT instance, epoch_us(ends), 'inactive' FROM spans WHERE ends IS NOT NULL)
-    WHERE ts_us < {CLOSED_US}"""
+      UNION ALL SELECT instance, epoch_us(ends), 'inactive' FROM spans WHERE ends IS NOT NULL)"""
 )
 def stream_alerts(spark, folder):
-    """State changes of held alerts."""
+    """State changes of held alerts, over several batches in order of time."""
     samples = V.table(spark, folder, "events").select(
         F.concat(F.lit("i-"), (F.col("user_id") % 4).cast("string")).alias("instance"),
         F.timestamp_micros(V.micros("ts")).alias("ts"),
         (F.col("event_id") % 100 > 30).alias("active"),
     )
-    stream, work = streamed(samples, "alerts")
-    J.run_to_table(J.hold_alerts(stream, 600), f"{work}/table", f"{work}/state")
-    changes = spark.read.parquet(f"{work}/table").withColumn("ts_us", F.unix_micros("ts"))
-    return changes.filter(F.col("ts_us") < CLOSED_US).select("instance", "ts_us", "state")
+    work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/alerts_{uuid4().hex[:8]}"
+    day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
+    first, last = samples.agg(F.min(day), F.max(day)).first()
+    thirds = [first + (last - first + 1) * i // 3 for i in range(4)] if first is not None else []
+    arrivals = [samples.filter(day.between(a, b - 1)) for a, b in zip(thirds[:-1], thirds[1:])]
+    # A quiet instance's later sample moves the clock, so that the last alerts fire.
+    later = samples.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).filter("ts IS NOT NULL")
+    arrivals.append(later.select(F.lit("quiet").alias("instance"), "ts", F.lit(False).alias("active")))
+    for arrival in arrivals:  # what has come is taken up each time
+        arrival.write.mode("append").parquet(f"{work}/input")
+        stream = spark.readStream.schema(samples.schema).parquet(f"{work}/input")
+        J.hold_alerts(stream, 600, f"{work}/table", f"{work}/state")
+    changes = spark.read.option("recursiveFileLookup", True).parquet(f"{work}/table")
+    return changes.select("instance", F.unix_micros("ts").alias("ts_us"), "state")

@@ -190,7 +190,7 @@ def test_stream_alert_fires_without_a_further_sample(spark, work):
         [("c", at(60), False)],
     ]
     stream = feed(spark, work, batches, "instance string, ts timestamp, active boolean")
-    J.run_to_table(J.hold_alerts(stream, 300), f"{work}/out", f"{work}/state")
+    J.hold_alerts(stream, 300, f"{work}/out", f"{work}/state")
     got = sorted((r.instance, r.ts.minute, r.state) for r in spark.read.parquet(f"{work}/out").collect())
     assert got == [("a", 0, "pending"), ("a", 5, "firing"), ("b", 0, "pending"), ("b", 1, "inactive")]
 
