@@ -35,13 +35,6 @@ REASONS = (
 BRIEF_KEYS = ("executive_summary", "key_observations", "recommended_checks", "limitations")
 
 
-def clean_grounding(rows: DataFrame) -> DataFrame:
-    """Stored texts of grounded events made fit for a brief."""
-    limits = {"primary_name": 255, "secondary_name": 255, "primary_designator": 32,
-              "secondary_designator": 32, "primary_object_type": 64, "secondary_object_type": 64}
-    return rows.withColumns({c: bounded_text(F.col(c), n) for c, n in limits.items()})
-
-
 def model_view(grounded: DataFrame) -> DataFrame:
     """What a text model may see: roles instead of names, and no identifiers."""
     facts = [c for c in K.BRIEF_EVIDENCE_FIELDS if not c.endswith("_role")]

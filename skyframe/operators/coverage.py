@@ -96,9 +96,3 @@ def objects_with_source(elements: DataFrame, source: str) -> DataFrame:
     return elements.filter(F.col("source") == source).agg(
         F.count_distinct("object_id").alias("objects")
     )
-
-
-def approximate_objects_with_source(elements: DataFrame, source: str, error: float = 0.02) -> DataFrame:
-    return elements.filter(F.col("source") == source).agg(
-        F.approx_count_distinct("object_id", error).alias("objects")
-    )

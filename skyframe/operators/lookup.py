@@ -21,6 +21,24 @@ def objects_by_number(objects: DataFrame, wanted: DataFrame) -> DataFrame:
     return objects.join(wanted.select("norad_cat_id").distinct(), "norad_cat_id", "left_semi")
 
 
+def labelled_events(events: DataFrame, objects: DataFrame) -> DataFrame:
+    """Events with number and name of both objects; an unknown object leaves nulls.
+
+    Labels are cut down to the objects that occur before they are joined.
+    """
+    sides = ("primary", "secondary")
+    ids = events.select(F.explode(F.array(*[f"{s}_object_id" for s in sides])).alias("object_id"))
+    labels = object_labels(objects, ids)
+    for side in sides:
+        named = labels.select(
+            F.col("orbital_object_id").alias(f"{side}_object_id"),
+            F.col("norad_cat_id").alias(f"{side}_norad_cat_id"),
+            F.col("object_name").alias(f"{side}_name"),
+        )
+        events = events.join(named, f"{side}_object_id", "left")
+    return events
+
+
 def object_labels(objects: DataFrame, ids: DataFrame) -> DataFrame:
     """Id, catalogue number and name of the objects in ``ids`` (column object_id)."""
     return objects.join(
@@ -182,56 +200,65 @@ def search(objects: DataFrame, text: str, limit: int = K.SEARCH_MAX_RESULTS) ->
     return objects.withColumn("rank", rank).filter("rank IS NOT NULL").orderBy("rank", "ordinal").limit(limit)
 
 
-def name_grams(objects: DataFrame, length: int = K.SEARCH_MIN_CHARS) -> DataFrame:
-    """Distinct two-character pieces of each name and number, for equi-joins."""
-    text = F.array(F.upper("object_name"), F.col("norad_cat_id").cast("string"))
-    pieces = F.flatten(
-        F.transform(
-            text,
-            lambda t: F.when(
-                F.length(t) >= length,
-                F.transform(F.sequence(F.lit(1), F.length(t) - (length - 1)), lambda i: F.substring(t, i, length)),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-    )
+#: Pieces of names that are indexed; a query is looked up by its longest such piece.
+GRAM_LENGTHS = (2, 3, 5)
+#: Parts of a piece's matches that are ranked on their own before they meet.
+RANK_SALTS = 64
+
+
+def _pieces(text: Column, length: int) -> Column:
+    """All substrings of one length."""
+    whole = F.transform(F.sequence(F.lit(1), F.length(text) - (length - 1)), lambda i: F.substring(text, i, length))
+    return F.when(F.length(text) >= length, whole).otherwise(F.array().cast("array<string>"))
+
+
+def name_grams(objects: DataFrame, lengths: tuple[int, ...] = GRAM_LENGTHS) -> DataFrame:
+    """Distinct pieces of each name and number, for equi-joins."""
+    name, number = F.coalesce(F.upper("object_name"), F.lit("")), F.col("norad_cat_id").cast("string")
+    pieces = F.concat(*[_pieces(t, n) for t in (name, number) for n in lengths])
     return objects.select("*", F.explode(F.array_distinct(pieces)).alias("gram"))
 
 
+def _query_pieces(query: Column) -> Column:
+    """The pieces by which a query may be looked up: those of the greatest length it has."""
+    picked = None
+    for length in sorted(GRAM_LENGTHS):
+        long_enough = F.length(query) >= length
+        picked = _pieces(query, length) if picked is None else F.when(long_enough, _pieces(query, length)).otherwise(picked)
+    return picked
+
+
 def search_many(objects: DataFrame, queries: DataFrame, limit: int = K.SEARCH_MAX_RESULTS) -> DataFrame:
     """First matches of each query (``query_id``, ``text``); queries under two
     characters have none.
 
-    A match contains the query's rarest two-character piece, so candidates come
-    from an equi-join on pieces rather than from every query against every object.
+    A match contains the query's rarest piece, so candidates come from an equi-join on
+    pieces rather than from every query against every object. Equal queries are asked
+    once. A short query is its own piece, of which there are few different ones; a long
+    one is looked up by five characters, which few names share. What a piece finds is
+    ranked in salted parts first, so a piece that nearly every name holds is not sorted
+    in one task and leaves at most ``limit`` rows a part.
     """
     asked = queries.select("query_id", F.upper(strip(F.col("text"))).alias("query")).filter(
         F.length("query") >= K.SEARCH_MIN_CHARS
     )
+    texts = asked.select("query").distinct()
     grams = name_grams(objects.select("id", "norad_cat_id", "object_name", "ordinal"))
     weight = grams.groupBy("gram").agg(F.count("*").alias("names"))
-    length = K.SEARCH_MIN_CHARS
-    pieces = asked.select(
-        "*",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("query") - (length - 1)),
-                lambda i: F.substring(F.col("query"), i, length),
-            )
-        ).alias("gram"),
-    )
     # Pieces no name has keep weight zero and rightly select nothing.
     rarest = (
-        pieces.join(weight, "gram", "left")
-        .groupBy("query_id", "query")
+        texts.select("query", F.explode(F.array_distinct(_query_pieces(F.col("query")))).alias("gram"))
+        .join(weight, "gram", "left")
+        .groupBy("query")
         .agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), F.col("gram"))).alias("gram"))
     )
     rank = search_rank(F.col("object_name"), F.col("norad_cat_id").cast("string"), F.col("query"))
-    order = W.partitionBy("query_id").orderBy("rank", "ordinal")
-    return (
-        rarest.join(grams, "gram")
-        .withColumn("rank", rank)
-        .filter("rank IS NOT NULL")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= limit)
-        .select("query_id", "query", "place", "rank", "id", "norad_cat_id", "object_name")
+    salt = F.pmod(F.xxhash64("id"), F.lit(RANK_SALTS))
+    found = rarest.join(grams, "gram").withColumns({"rank": rank, "salt": salt}).filter("rank IS NOT NULL")
+    in_part = W.partitionBy("query", "salt").orderBy("rank", "ordinal")
+    found = found.withColumn("place", F.row_number().over(in_part)).filter(F.col("place") <= limit)
+    order = W.partitionBy("query").orderBy("rank", "ordinal")
+    first = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return asked.join(first, "query").select(
+        "query_id", "query", "place", "rank", "id", "norad_cat_id", "object_name"
     )
