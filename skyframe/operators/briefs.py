@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyframe import constants as K
-from skyframe.functions.text import bounded_text
 
 REASONS = (
     ("reasoning_present", "reasoning_content"),
