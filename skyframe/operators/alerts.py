@@ -12,8 +12,8 @@ from skyframe import constants as K
 from skyframe.functions.quality import MICROS
 from skyframe.operators.sliced import (
     SLICE,
-    SLICE_SECONDS,
     earlier_slices,
+    fitted_seconds,
     in_slice,
     inherit,
     up_to_now,
@@ -29,11 +29,12 @@ def and_on(rows: DataFrame, partner: DataFrame, on: tuple[str, ...] = ON) -> Dat
     return rows.join(partner.select(*on).distinct(), list(on), "left_semi")
 
 
-def counter_deltas(series: DataFrame, labels: list[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def counter_deltas(series: DataFrame, labels: list[str], slice_seconds: int | None = None) -> DataFrame:
     """Adds ``delta``: growth since the previous sample; after a reset the new value.
 
     The first sample of a series has no delta, as nothing is known before it.
     """
+    slice_seconds = slice_seconds or fitted_seconds(series, labels, "ts")
     rows = with_previous(with_slice(series, "ts", slice_seconds), labels, ["ts", "value"], "value", "_before")
     before = F.col("_before")
     grown = F.when(F.col("value") >= before, F.col("value") - before).when(before.isNotNull(), F.col("value"))
@@ -58,7 +59,7 @@ def counter_increase(
 
 
 def hold_for(
-    samples: DataFrame, labels: list[str], hold_seconds: int, slice_seconds: int = SLICE_SECONDS
+    samples: DataFrame, labels: list[str], hold_seconds: int, slice_seconds: int | None = None
 ) -> DataFrame:
     """Alert state per sample (``ts``, boolean ``active``): inactive, pending, and
     firing once the condition held for ``hold_seconds``. It clears at once.
@@ -66,6 +67,7 @@ def hold_for(
     Gaps and islands: the begin of the current run is the last sample that turned
     active, in this slice or an earlier one.
     """
+    slice_seconds = slice_seconds or fitted_seconds(samples, labels, "ts")
     rows = with_previous(with_slice(samples, "ts", slice_seconds), labels, ["ts", "active"], "active", "_was")
     turned = F.col("active") & ~F.coalesce("_was", F.lit(False))
     rows = rows.withColumn("_turned", F.when(turned, F.col("ts"))).drop("_was")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from skyframe import constants as K
 from skyframe.functions.motion import altitude_km, speed_km_s
 from skyframe.functions.text import display_kind, operational_status, strip
+from skyframe.session import broadcast_if_small
 
 
 def by_key(df: DataFrame, key: str, value: int) -> DataFrame:
@@ -111,6 +112,9 @@ def screening_is_stale(runs: DataFrame, now: Column) -> DataFrame:
     )
 
 
+#: Run headers (about 80 bytes each) that may be broadcast.
+BROADCAST_RUNS = 200_000
+
 GROUNDING_PROBLEMS = (
     "incomplete", "run", "pair", "provenance", "outside_window", "number",
 )
@@ -128,7 +132,8 @@ def grounded_events(events: DataFrame, runs: DataFrame, objects: DataFrame, elem
         "window_start",
         "window_end",
     )
-    rows = events.join(run_facts, "run_id", "left")
+    # Few runs hold many events; a counted table of runs is broadcast, a larger one shuffles.
+    rows = events.join(broadcast_if_small(run_facts, BROADCAST_RUNS), "run_id", "left")
     for side in ("primary", "secondary"):
         named = objects.select(
             F.col("id").alias(f"{side}_object_id"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.window import Window as W
 
 from skyframe import constants as K
@@ -17,12 +16,13 @@ from skyframe.functions.quality import (
 )
 from skyframe.operators.sliced import (
     SLICE,
-    SLICE_SECONDS,
     earlier_slices,
+    fitted_seconds,
     in_slice,
     up_to_here,
     with_slice,
 )
+from skyframe.session import broadcast_if_small
 
 EXECUTION_KEY = ("kind", "label")
 
@@ -262,11 +262,15 @@ def latest_execution(executions: DataFrame, key: str = "label") -> DataFrame:
     ).select(key, "r.*")
 
 
+#: Keys (about 50 bytes each) whose last success may be broadcast.
+BROADCAST_KEYS = 100_000
+
+
 def failure_streaks(
     executions: DataFrame,
     policy: dict[str, int] = K.FEED_RETRY,
     key: str = "label",
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Each finished execution with ``consecutive_failures`` after it and the retry
     time of a failure. A success resets the streak.
@@ -274,7 +278,8 @@ def failure_streaks(
     Before the first success of a slice the streak goes on from earlier slices:
     their failures less those up to their last success.
     """
-    done = with_slice(executions.filter(F.col("finished_at").isNotNull()), "finished_at", slice_seconds)
+    done = executions.filter(F.col("finished_at").isNotNull())
+    done = with_slice(done, "finished_at", slice_seconds or fitted_seconds(done, [key], "finished_at"))
     window = up_to_here(in_slice([key], "finished_at", "execution_id"))
     failed = F.when(F.col("success"), 0).otherwise(1)
     rows = done.withColumn("_failed", F.sum(failed).over(window))
@@ -304,7 +309,8 @@ def current_failure_streaks(executions: DataFrame, key: str = "label") -> DataFr
     at = F.struct("finished_at", "execution_id")
     done = executions.filter(F.col("finished_at").isNotNull())
     last_success = done.filter("success").groupBy(key).agg(F.max(at).alias("last_success"))
-    joined = done.join(last_success, key, "left")
+    # One row a key; a key may hold most executions, so a few keys are broadcast.
+    joined = done.join(broadcast_if_small(last_success, BROADCAST_KEYS), key, "left")
     after = F.col("last_success").isNull() | (at > F.col("last_success"))
     return joined.groupBy(key).agg(F.count_if(after & ~F.col("success")).alias("consecutive_failures"))
 

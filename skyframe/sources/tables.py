@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyframe.session import broadcast_if_small
+
+
+#: Run ids (8 bytes each) that may be broadcast to the rows of runs.
+BROADCAST_RUNS = 1_000_000
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -50,4 +56,5 @@ def read_runs(spark: SparkSession, folder: str, header_name: str) -> DataFrame:
 def read_run_rows(spark: SparkSession, folder: str, rows_name: str, header_name: str) -> DataFrame:
     """Rows of committed runs only."""
     rows = spark.read.parquet(f"{folder}/{rows_name}")
-    return rows.join(read_runs(spark, folder, header_name).select("run_id"), "run_id", "left_semi")
+    committed = read_runs(spark, folder, header_name).select("run_id")
+    return rows.join(broadcast_if_small(committed, BROADCAST_RUNS), "run_id", "left_semi")
