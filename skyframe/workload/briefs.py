@@ -60,14 +60,74 @@ BRIEF_COLUMNS = (
 )
 
 
-@query()
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _plain_risks() -> dict[str, tuple[str, str]]:
+    """For each pattern that looks around, (all phrases, phrases in a setting that
+    excuses them) as plain patterns: it finds something where the first occur more often."""
+    maneuver = K.MANEUVER_PATTERN.replace("(?<!not )", "")
+    excused = K.MANEUVER_PATTERN.replace("(?i)\\b(?:perform|execute|initiate|conduct|schedule|prescribe|", "(?i)\\bnot (?:").replace(
+        "(?<!not )", "").replace("|should|must)", ")").replace("|\\balter (?:the )?orbit\\b", "")
+    probability = K.PROBABILITY_PATTERN.replace("(?<!no )", "").replace("(?!not\\b|unknown\\b|unavailable\\b)", "")
+    said = r"(?:collision probability|probability of collision)\s+(?:is|appears|remains|equals|was)\s+"
+    excused_probability = rf"(?i)\bno {said}|{said}(?:not\b|unknown\b|unavailable\b)"
+    return {"maneuver": (maneuver, excused), "probability": (probability, excused_probability)}
+
+
+def _more(name: str) -> str:
+    every, excused = _plain_risks()[name]
+    return f"len(regexp_extract_all(summary, {_quoted(every)})) > len(regexp_extract_all(summary, {_quoted(excused)}))"
+
+
+BRIEFS = f"""written AS (
+  SELECT d.doc_id AS brief_id, d.text, l.quality, d.doc_id AS k, d.source,
+    CASE WHEN d.doc_id % 3 = 0 THEN 'The primary object nears the secondary object. ' ELSE 'Objects. ' END
+      || CASE WHEN d.doc_id % 4 = 0 THEN 'High risk of contact remains. ' ELSE '' END || d.text AS summary
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+contents AS (
+  SELECT *, CASE WHEN quality = 0 THEN 'length' WHEN k % 23 = 5 THEN 'other' ELSE 'stop' END AS finish,
+    CASE k % 19 WHEN 0 THEN text WHEN 1 THEN '<THINK>' || text WHEN 2 THEN '  ' ELSE
+      '{{"executive_summary":' || to_json(summary)::VARCHAR || ',"key_observations":[{{"text":"Doc '
+        || translate(source, '0123456789', 'abcdefghij') || ' keeps distance.","evidence_fields":'
+        || CASE WHEN k % 7 = 0 THEN '["tca","tca","method"]' ELSE '["miss_distance_km"]' END || '}}],"recommended_checks":'
+        || CASE k % 6 WHEN 0 THEN '["verify_ephemeris_freshness","review_event_evolution","verify_ephemeris_freshness"]'
+          WHEN 1 THEN '["unheard_of"]' ELSE '["verify_ephemeris_freshness"]' END
+        || ',"limitations":["ai_explanation_not_orbital_calculation"]}}' END AS content FROM written),
+verdicts AS (SELECT *, CASE
+    WHEN k % 29 = 3 THEN ['reasoning_present', 'reasoning_content']
+    WHEN finish = 'length' THEN ['output_truncated', 'finish_reason']
+    WHEN finish <> 'stop' THEN ['finish_reason_invalid', 'finish_reason']
+    WHEN NOT regexp_matches(content, '\\S') THEN ['empty_content', 'content']
+    WHEN regexp_matches(content, '(?i)</?think\\b') THEN ['thinking_tag_present', 'content']
+    WHEN k % 19 = 0 THEN ['invalid_json', 'content']
+    WHEN k % 6 = 1 OR length(summary) NOT BETWEEN 20 AND 320 THEN ['schema_invalid', 'content']
+    WHEN regexp_matches(summary, '\\p{{Nd}}') THEN ['narrative_digit', 'narrative']
+    WHEN {_more("maneuver")} THEN ['maneuver_instruction', 'narrative']
+    WHEN {_more("probability")} THEN ['invented_probability', 'narrative']
+    WHEN regexp_matches(summary, {_quoted(K.RISK_PATTERN)}) THEN ['invented_risk_classification', 'narrative']
+    WHEN NOT (contains(lower(summary), 'primary object') AND contains(lower(summary), 'secondary object'))
+      THEN ['schema_invalid', 'narrative']
+    WHEN k % 9 = 0 AND k % 7 <> 0 THEN ['unavailable_evidence', 'key_observations.evidence_fields'] END AS verdict
+  FROM contents)"""
+
+
+@query(with_views(BRIEFS) + "SELECT brief_id, verdict[1] AS reason, verdict[2] AS field_path FROM verdicts")
 def brief_checks(spark, folder):
-    """No oracle: the content patterns look behind, which the SQL engine cannot."""
+    """The first failing check of each brief. The oracle counts phrases with and without
+    the setting that excuses them, as its patterns cannot look around."""
     checked = B.check_briefs(brief_texts(spark, folder).select(*BRIEF_COLUMNS))
     return checked.select("brief_id", "reason", "field_path")
 
 
-@query()
+@query(
+    with_views(BRIEFS)
+    + """SELECT brief_id, verdict[1] AS reason, verdict[2] AS field_path,
+      CASE WHEN finish = 'other' THEN 'unknown' ELSE finish END AS finish_reason,
+      floor(length(text) / 4)::INTEGER AS prompt_tokens, 100::INTEGER AS completion_tokens, sha256(content) AS output_sha256
+    FROM verdicts WHERE verdict IS NOT NULL"""
+)
 def brief_rejections(spark, folder):
     return B.rejections(B.check_briefs(brief_texts(spark, folder).select(*BRIEF_COLUMNS)))
 
@@ -162,8 +222,12 @@ def grounding_digest(spark, folder):
     )
 
 
-@query()
+@query(
+    """SELECT doc_id, nullif(trim(substring(trim(regexp_replace(regexp_replace(nfc_normalize(text), '\\p{C}', '', 'g'),
+      '\\s+', ' ', 'g')), 1, 255)), '') AS bounded FROM documents"""
+)
 def bounded_texts(spark, folder):
-    """Whole documents made fit for grounding. No oracle: SQL has no NFKC."""
+    """Whole documents made fit for grounding. The given documents hold no character that
+    compatibility normalisation replaces, so canonical normalisation is their oracle."""
     documents = V.table(spark, folder, "documents")
     return documents.select("doc_id", bounded_text(F.col("text"), 255).alias("bounded"))
