@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from skyframe import constants as K
 from skyframe.operators import catalogue as C
-from skyframe.operators import coverage as V2
+from skyframe.operators import coverage as Cov
 from skyframe.operators import episodes as E
 from skyframe.operators import lookup as L
 from skyframe.operators import operations as O
 from skyframe.operators import propagation as P
 from skyframe.operators import selection as Sel
+from skyframe.operators import trajectory as T
 from skyframe.plans.propagation_run import propagation_run, store_propagation_run
 from skyframe.session import new_folder
 from skyframe.sources import feeds
@@ -170,7 +171,7 @@ def propagation_status_counts(spark, folder):
     """States of the latest stored run by ephemeris status."""
     path = _stored_run(spark, folder)
     states = read_run_rows(spark, path, "states", "propagation_runs")
-    return V2.propagation_status_counts(states, read_runs(spark, path, "propagation_runs"))
+    return Cov.propagation_status_counts(states, read_runs(spark, path, "propagation_runs"))
 
 
 @query(
@@ -212,3 +213,30 @@ def event_uniqueness(spark, folder):
     """Events counted by run after the check that no event repeats."""
     events = check_unique(V.conjunctions(spark, folder), ["run_id", "event_id"])
     return events.groupBy("run_id").agg(F.count("*").alias("events"))
+
+
+@query(
+    with_views(ELEMENTS)
+    + f"""SELECT element_id, object_id, source, epoch_us(epoch) AS epoch_us FROM elements
+      WHERE element_id IN (SELECT element_id FROM elements ORDER BY element_id LIMIT {K.MAX_TARGET_OBJECTS})"""
+)
+def exact_replay_elements(spark, folder):
+    """As many exact elements as a replay may name, checked against their objects."""
+    elements = V.elements(spark, folder)
+    named = elements.select("element_id", "object_id").orderBy("element_id").limit(K.MAX_TARGET_OBJECTS).collect()
+    chosen = T.exact_elements(elements, [r["element_id"] for r in named], [r["object_id"] for r in named])
+    return chosen.select("element_id", "object_id", "source", F.unix_micros("epoch").alias("epoch_us"))
+
+
+@query(
+    with_views(OBJECTS, ELEMENTS)
+    + """SELECT 'self' AS compared, true AS same UNION ALL SELECT 'catalogue', NOT EXISTS (
+        SELECT id FROM objects EXCEPT SELECT object_id FROM elements) AND NOT EXISTS (
+        SELECT object_id FROM elements EXCEPT SELECT id FROM objects)"""
+)
+def same_id_sets(spark, folder):
+    """Whether elements name the same objects as themselves and as the catalogue."""
+    ids = V.elements(spark, folder).select("object_id")
+    catalogue = V.objects(spark, folder).select(F.col("id").alias("object_id"))
+    answers = [("self", T.same_ids(ids, ids, "object_id")), ("catalogue", T.same_ids(ids, catalogue, "object_id"))]
+    return spark.createDataFrame(answers, "compared string, same boolean")

@@ -289,3 +289,19 @@ def test_kepler_model_keeps_a_circular_orbit(spark):
     bad = spark.createDataFrame([row[:6] + (1.5,) + row[7:]], names)
     df = model.prepare(bad).withColumn("at_us", F.lit(US))
     assert model.state_at(df, "at_us").first().error is not None
+
+
+def test_tied_detections_give_one_event_each(spark):
+    """Rows equal in every column must not part an encounter, whatever a shuffle does."""
+    pairs = spark.range(3000).select(
+        F.col("id").alias("primary_object_id"), (F.col("id") + 10_000).alias("secondary_object_id"),
+        (F.lit(1_767_225_600_000_000) + F.col("id") * 1_000_000).alias("tca_us"), F.lit(1.5).alias("miss_distance_km"),
+        F.lit(7.0).alias("relative_velocity_km_s"), F.lit(0.0).alias("delta_t_seconds"), F.lit("m").alias("method"),
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = E.merge_episodes(pairs.unionByName(pairs).repartition(7), E.within_gap(600)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(events) == 3000 and {e.merged for e in events} == {2}
