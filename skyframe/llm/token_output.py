@@ -62,7 +62,11 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             break
         pairs = (symbols[:-1] << 32) | symbols[1:]
         inside = ~last[:-1]
-        found, counts = np.unique(pairs[inside], return_counts=True)
+        # Most pairs are rare. A count by hash tells which can be frequent; only those are sorted.
+        bits = max(len(pairs).bit_length(), 10)
+        slots = _slots(pairs, bits)
+        likely = np.bincount(slots, minlength=1 << bits)[slots] >= LEAST_COUNT
+        found, counts = np.unique(pairs[likely & inside], return_counts=True)
         often = counts >= LEAST_COUNT
         found, counts = found[often], counts[often]
         if not len(found):
@@ -70,7 +74,10 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         if len(found) > RULES_A_PASS:
             best = np.argpartition(-counts, RULES_A_PASS)[:RULES_A_PASS]
             found = np.sort(found[best])
-        at = np.minimum(np.searchsorted(found, pairs), len(found) - 1)
+        # Of pairs that share a slot one gets a rule now, the others in a later pass.
+        rule_at = np.zeros(1 << bits, np.int32)
+        rule_at[_slots(found, bits)] = np.arange(len(found), dtype=np.int32)
+        at = rule_at[slots]
         hits = np.flatnonzero((found[at] == pairs) & inside)
         hits = hits[_every_other(hits)]
         used, rank = np.unique(at[hits], return_inverse=True)
@@ -86,6 +93,12 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return table, expansion_lengths(table, first_symbol), symbols, places
 
 
+def _slots(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of each pair in so many bits."""
+    mixed = pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _every_other(hits: np.ndarray) -> np.ndarray:
     """Of each run of hits at neighbouring places the first, third and so on: those that
     do not overlap."""
