@@ -440,7 +440,9 @@ def screening_events(spark, folder):
       (SELECT count(DISTINCT solution_id) FROM members) AS shared_solution_groups,
       (SELECT count(*) FROM members) AS shared_solution_objects,
       (SELECT count(*) FROM episodes) AS event_count,
-      (SELECT coalesce(sum(merged) - count(*), 0)::BIGINT FROM episodes) AS duplicate_events_suppressed
+      (SELECT coalesce(sum(merged) - count(*), 0)::BIGINT FROM episodes) AS duplicate_events_suppressed,
+      (SELECT count(*) FILTER (gap > 0) FROM hits) AS episode_checks,
+      (SELECT coalesce(4 * sum(ceil(gap / {STEP * 1000000}.0::DOUBLE)) FILTER (gap > 0), 0)::BIGINT FROM hits) AS episode_propagations
     FROM chunks"""
 )
 def screening_run(spark, folder):
