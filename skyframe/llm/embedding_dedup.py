@@ -41,9 +41,9 @@ from skyframe.session import materialize
 
 COSINE = 0.9
 BLOCKS = 8
-#: Vectors of one cell on average, and of one sub-cell at most (on average of a hash).
-CELL_ROWS = 4096
-SUBCELL_ROWS = 4096
+#: Doubles of one cell on average, in bytes; a larger cell is dealt into sub-cells of this
+#: size. A task holds two. Larger cells mean fewer copies of a vector in the shuffle.
+CELL_BYTES = 8 << 20
 #: Pivots of a block; sampled, so the driver holds at most this many short vectors.
 MAX_PIVOTS = 1024
 #: Candidate pairs that are checked at once.
@@ -61,6 +61,10 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def cell_rows(dim: int) -> int:
+    return max(16, CELL_BYTES // (8 * dim))
+
+
 def block_edges(dim: int) -> list[tuple[int, int]]:
     blocks = min(BLOCKS, dim)
     return [(dim * b // blocks, dim * (b + 1) // blocks) for b in range(blocks)]
@@ -113,12 +117,26 @@ def _vectors(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
 
 
+def _packed(numbers: np.ndarray) -> pa.Array:
+    """Each row as bytes, which pass through a shuffle as they are: of floats where these
+    hold the numbers exactly, else of doubles."""
+    floats = numbers.astype("<f4")
+    rows = floats if (floats == numbers).all() else numbers.astype("<f8")
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(rows)], pa.binary())
+
+
+def _unpacked(blobs: list[bytes], dim: int) -> np.ndarray:
+    if len({len(b) for b in blobs}) == 1:
+        return np.frombuffer(b"".join(blobs), "<f4" if len(blobs[0]) == 4 * dim else "<f8").reshape(-1, dim).astype(float)
+    return np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * dim else "<f8").astype(float) for b in blobs])
+
+
 def _cell_pairs(nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
     """(block, one, two, node, weight, v): each vector in every pair of sub-cells of every
     block that it has to meet. ``one`` <= ``two``; a pair of a sub-cell with itself is the
     vector's own."""
     count = nodes.count()
-    cells = max(1, min(MAX_PIVOTS, -(-count // CELL_ROWS)))
+    cells = max(1, min(MAX_PIVOTS, -(-count // cell_rows(dim))))
     pivots, radii = _pivots(nodes, dim, cells), np.sqrt(budgets(dim, cosine))
     edges = block_edges(dim)
     held = nodes.select("node", "weight", "v")
@@ -135,11 +153,12 @@ def _cell_pairs(nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
     sizes = held.mapInArrow(homes, "block int, cell int").groupBy("block", "cell").count().collect()
     parts = np.ones((len(edges), len(pivots[0])), np.int64)
     for r in sizes:  # at most BLOCKS * MAX_PIVOTS rows
-        parts[r["block"], r["cell"]] = -(-r["count"] // SUBCELL_ROWS)
+        parts[r["block"], r["cell"]] = -(-r["count"] // cell_rows(dim))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned = units(_vectors(batch, dim)) @ rotation(dim)
+            numbers = _vectors(batch, dim)
+            turned, packed = units(numbers) @ rotation(dim), _packed(numbers)
             node = batch.column("node").to_numpy()
             for b, (low, high) in enumerate(edges):
                 squares, home = _nearest(turned[:, low:high], pivots[b])
@@ -162,12 +181,12 @@ def _cell_pairs(nodes: DataFrame, dim: int, cosine: float) -> DataFrame:
                         [
                             pa.array(np.full(len(picked), b, np.int32)), pa.array(one[some].astype(np.int32)),
                             pa.array(two[some].astype(np.int32)), pa.array(mine[row[some]].astype(np.int32)),
-                            *[batch.column(c).take(picked) for c in ("node", "weight", "v")],
+                            *[c.take(picked) for c in (batch.column("node"), batch.column("weight"), packed)],
                         ],
                         names=["block", "one", "two", "mine", "node", "weight", "v"],
                     )
 
-    return held.mapInArrow(spread, "block int, one int, two int, mine int, node long, weight long, v array<double>")
+    return held.mapInArrow(spread, "block int, one int, two int, mine int, node long, weight long, v binary")
 
 
 def _whole_blocks(turned_rows: np.ndarray, dim: int) -> np.ndarray:
@@ -192,12 +211,15 @@ def _linked(unit: np.ndarray, one: np.ndarray, two: np.ndarray, block: int, dim:
     low, high = block_edges(dim)[block]
     turned = (unit @ rotation(dim)[:, low:high]).astype(np.float32)
     limit = np.float32(budgets(dim, cosine)[block] * 1.001 + 1e-5)  # doubles and floats differ by less
-    squares = (turned**2).sum(1)
+    squares, ones = (turned**2).sum(1, keepdims=True), np.ones((len(turned), 1), np.float32)
+    # One product gives squared distances: (x, |x|^2, 1) by (-2y, 1, |y|^2).
+    left, right = np.hstack([turned, squares, ones]), np.hstack([-2 * turned, ones, squares])
     for at in range(0, len(one), 512):
         rows = one[at : at + 512]
-        near = squares[rows][:, None] + squares[two][None] - 2.0 * (turned[rows] @ turned[two].T) <= limit
-        i, j = np.nonzero(near)
-        i, j = rows[i], two[j]
+        others = two[at:] if one is two else two  # of one sub-cell each pair is met once
+        near = np.flatnonzero(left[rows] @ right[others].T <= limit)
+        i, j = np.divmod(near, len(others))
+        i, j = rows[i], others[j]
         if one is two:
             i, j = i[i < j], j[i < j]
         for begin in range(0, len(i), CHECKED_AT_ONCE):
@@ -245,7 +267,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], dim: int) -> Ite
         if not batch.num_rows:
             continue
         columns = {n: batch.column(n).to_numpy() for n in (*keys, "mine", "node", "weight")}
-        columns["v"] = _vectors(batch, dim)
+        columns["v"] = np.array(batch.column("v").to_pylist(), object)
         change = np.zeros(batch.num_rows, bool)
         for k in keys:
             change[1:] |= columns[k][1:] != columns[k][:-1]
@@ -253,16 +275,17 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], dim: int) -> Ite
         for a, b in zip(edges[:-1], edges[1:]):
             now = tuple(columns[k][a] for k in keys)
             if held and now != key:
-                yield _merged(held, key, keys)
+                yield _merged(held, key, keys, dim)
                 held = []
             key = now
             held.append({n: c[a:b] for n, c in columns.items()})
     if held:
-        yield _merged(held, key, keys)
+        yield _merged(held, key, keys, dim)
 
 
-def _merged(held: list[dict], key: tuple, keys: list[str]) -> dict:
-    whole = {n: np.concatenate([h[n] for h in held]) for n in ("mine", "node", "weight", "v")}
+def _merged(held: list[dict], key: tuple, keys: list[str], dim: int) -> dict:
+    whole = {n: np.concatenate([h[n] for h in held]) for n in ("mine", "node", "weight")}
+    whole["v"] = _unpacked([b for h in held for b in h["v"].tolist()], dim)
     return whole | {k: int(v) for k, v in zip(keys, key)}
 
 

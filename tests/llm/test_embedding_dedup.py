@@ -54,8 +54,7 @@ def test_equals_all_pairs(spark, noise):
 
 
 def test_equals_all_pairs_in_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(E, "CELL_ROWS", 20)
-    monkeypatch.setattr(E, "SUBCELL_ROWS", 15)
+    monkeypatch.setattr(E, "CELL_BYTES", 8 * 16 * 20)
     rows = clusters(4, 3, 50, 16, 0.3)
     assert found(spark, rows) == brute(rows)
 
