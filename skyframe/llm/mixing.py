@@ -141,22 +141,24 @@ def schedule_takes(
     return rows.select(*kept, "size", "source_size", "target", taken.alias("taken"), "takes")
 
 
-def in_time_order(rows: DataFrame, position: str) -> DataFrame:
+def in_time_order(rows: DataFrame, position: str, spread_by: tuple[str, ...] = ()) -> DataFrame:
     """Rows in ranges of training time, one partition each, sorted inside.
 
     Demand is spread over time by the schedules, so equal ranges of time hold near equal
-    work and need no sampling. Rows without a time are spread by hash and sort last.
+    work and need no sampling. Rows without a time are spread by a hash of ``spread_by``
+    and sort last.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.hash(*[c for c in rows.columns if c != "takes"][:1]), F.lit(parts))
-    part = F.coalesce(F.least(F.floor(F.col(position) * parts), F.lit(parts - 1)), spread).cast("int")
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(parts)) if spread_by else F.lit(parts - 1)
+    at = F.col(position)
+    part = F.when(at.isNull(), spread).otherwise(F.least(F.floor(at * parts), F.lit(parts - 1))).cast("int")
     return rows.repartitionById(parts, part).sortWithinPartitions(F.col(position).asc_nulls_last())
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``schedule_takes`` with ``first_position``, in the order of it."""
     rows = schedule_takes(docs, **options).withColumn("first_position", F.get("takes", F.lit(0))["position"])
-    return in_time_order(rows, "first_position")
+    return in_time_order(rows, "first_position", (options.get("id_column", "doc_id"), "size"))
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
