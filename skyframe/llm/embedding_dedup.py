@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from skyframe.llm.common import small_batches
 from skyframe.llm.components import connected_components
-from skyframe.llm.simhash import _unite
+from skyframe.llm.simhash import unite
 from skyframe.session import materialize
 
 COSINE = 0.9
@@ -248,7 +248,7 @@ def _join(pairs: DataFrame, dim: int, cosine: float) -> DataFrame:
             for a, b in _linked(unit, first, second, block, dim, cosine):
                 np.add.at(links, a, weight[b])
                 np.add.at(links, b, weight[a])
-                _unite(root, a, b)
+                unite(root, a, b)
             hit = np.flatnonzero(links)
             if len(hit):
                 yield pa.RecordBatch.from_arrays(

@@ -217,12 +217,12 @@ def spanning_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.
             left, base = part_q[some][i], rows[part_b[some][i]]
             right = base[:, 0] + offset
             real = (right < base[:, 1]) & (right != left)
-            _unite(root, left[real], right[real])
+            unite(root, left[real], right[real])
     moved = np.flatnonzero(root != np.arange(len(root)))
     return moved, root[moved]
 
 
-def _unite(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+def unite(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
     """Merge the sets of each pair; ``root`` is kept flat, with the smallest row as root."""
     while len(left):
         a, b = root[left], root[right]
