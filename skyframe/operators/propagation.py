@@ -7,7 +7,6 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyframe import constants as K
 from skyframe.functions.orbit import STATE, KeplerJ2, OrbitModel
 from skyframe.functions.quality import (
     MICROS,

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from skyframe import constants as K
 from skyframe.operators.catalogue import ELEMENT_KEY
 from skyframe.operators.logs import level_counts
-from skyframe.functions.quality import MICROS
 from skyframe.operators.selection import source_priority
 from skyframe.operators.sliced import SLICE, with_previous, with_slice
 
