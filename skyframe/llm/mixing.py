@@ -113,20 +113,22 @@ def schedule_takes(
     key = F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")))
     rows = docs.select(*kept, word_count(text_column).alias("size")).withColumns({"_key": key, "_text": F.md5(text_column)})
     digits = max(1, math.ceil(math.log(max(docs.count() / WINDOW_ROWS, 1), 16)))
-    rows = rows.withColumns({"_source": F.col(source_column), "_bucket": F.substring("_key", 1, digits)})
+    # One string per source that sorts like it, nulls last; windows and the join share it,
+    # so the documents are shuffled for both at once.
+    named = F.when(F.col(source_column).isNull(), "2").otherwise(F.concat(F.lit("1"), F.col(source_column).cast("string")))
+    rows = rows.withColumns({"_source": named, "_bucket": F.substring("_key", 1, digits)})
     sums = materialize(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("words")), "words")
     sizes = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
     targets = materialize(source_targets(sizes, share, cap, weights), "targets")
     earlier = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     begins = sums.withColumn("_begins", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    same = begins["_source"].eqNullSafe(targets["source"])
-    plan = begins.join(targets, same).select(
-        F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "_begins", "source_size", "rank", "target"
+    plan = begins.join(targets.withColumnRenamed("source", "_source"), "_source").select(
+        "_source", "_bucket", "_begins", "source_size", "rank", "target"
     )
     inside = W.partitionBy("_source", "_bucket").orderBy("_key", F.col("_text").asc_nulls_first())
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_ahead", ahead)
-    rows = rows.join(plan, rows["_source"].eqNullSafe(plan["_s"]) & (rows["_bucket"] == plan["_b"]))
+    rows = rows.join(plan, ["_source", "_bucket"])
     wanted = F.floor(F.col("target") + 0.5)
     rows = rows.withColumns({"_at": F.col("_begins") + F.col("_ahead"), "_wanted": wanted, "_plan": cycled(schedules, F.col("rank"))})
     takes = []
