@@ -7,10 +7,13 @@ number of runs above and below the middle, and the correlation of neighbours. Th
 smallest p-value, corrected for three tests, is uniform for noise and near zero for text.
 
 False discoveries are controlled by strata of encoding and length, as a test says little
-about a short string: from the p-values above 0.5, which text does not reach, comes how
-many candidates of the stratum are noise; then the least threshold is taken at which the
-estimated share of others among the accepted is at most ``FALSE_SHARE``. The counts by
-stratum are taken over all documents; the table has a few hundred rows at any size.
+about a short string: the p-values above 0.5, which text does not reach, show how many
+strings of noise each bin holds. A bin is given up only where bins from it on hold
+significantly more than that and ``FALSE_SHARE`` of the accepted, so that chance alone
+costs a stratum of noise at most ``LOST_SHARE`` of its strings, on average, at any number
+of them. Strata of few strings are pooled over length, and without evidence their lowest
+bin, where nearly all text is, stays out. Strings are counted once however often they
+occur, over all documents; the table has a few hundred rows at any size.
 
 Spans are half-open, in code points, sorted by start and then kind. Defined results: a
 null or empty text has no spans. Input columns named ``spans`` are replaced.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +54,14 @@ ALPHABETS = {
 }
 CODES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 FALSE_SHARE = 0.01
+#: Level of the test for text in a stratum, and bound of the noise that chance may cost:
+#: the lowest bin (0.02), and with this probability up to 0.48 more.
+LOST_SHARE = 0.05
 BINS = 50
+#: Runs of bins that are looked at for text, from the one in question on.
+RUNS = (1, 2, 5, BINS // 2)
+#: A stratum of fewer strings is pooled.
+FEW = 100
 #: Lower ends of the length strata.
 LENGTHS = (20, 24, 32, 40, 64, 128, 256)
 
@@ -150,30 +161,61 @@ def thresholds(docs: DataFrame, text_column: str = "text", share: float = FALSE_
 
     def run(batches):
         for batch in batches:
-            found = [c for t in batch.column("text").to_pylist() for c in candidates(t or "")]
+            found = {(t[a:b], e, p) for t in batch.column("text").to_pylist() if t for a, b, e, p in candidates(t)}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([c[2] for c in found], pa.string()),
-                    pa.array([stratum(c[1] - c[0]) for c in found], pa.int32()),
-                    pa.array([min(int(c[3] * BINS), BINS - 1) for c in found], pa.int32()),
+                    pa.array([blake2b(c[0].encode(), digest_size=16).digest() for c in found], pa.binary()),
+                    pa.array([c[1] for c in found], pa.string()),
+                    pa.array([stratum(len(c[0])) for c in found], pa.int32()),
+                    pa.array([min(int(c[2] * BINS), BINS - 1) for c in found], pa.int32()),
                 ],
-                names=["encoding", "stratum", "bin"],
+                names=["mark", "encoding", "stratum", "bin"],
             )
 
-    rows = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "encoding string, stratum int, bin int")
+    columns = "mark binary, encoding string, stratum int, bin int"
+    rows = docs.select(F.col(text_column).alias("text")).mapInArrow(run, columns).distinct()
     counts: dict[tuple[str, int], list[int]] = {}
     for r in rows.groupBy("encoding", "stratum", "bin").count().collect():
         counts.setdefault((r["encoding"], r["stratum"]), [0] * BINS)[r["bin"]] = r["count"]
-    return {key: threshold(c, share) for key, c in counts.items()}
+    return {key: threshold(pool, share) for keys, pool in pooled(counts) for key in keys}
+
+
+def pooled(counts: dict[tuple[str, int], list[int]]) -> list[tuple[list[tuple[str, int]], list[int]]]:
+    """Strata with their counts; neighbours in length of the same encoding are put
+    together where each holds fewer than ``FEW`` strings."""
+    pools: list[tuple[list[tuple[str, int]], list[int]]] = []
+    for key in sorted(counts):
+        if pools and pools[-1][0][0][0] == key[0] and max(sum(pools[-1][1]), sum(counts[key])) < FEW:
+            keys, pool = pools.pop()
+            pools.append(([*keys, key], [a + b for a, b in zip(pool, counts[key])]))
+        else:
+            pools.append(([key], counts[key]))
+    return pools
+
+
+def _binomial_tail(n: int, k: int, q: float) -> float:
+    """Probability of ``k`` or more of ``n``."""
+    if k <= 0:
+        return 1.0
+    if n > 2000:
+        return _normal_tail((k - 0.5 - n * q) / math.sqrt(n * q * (1.0 - q)))
+    return math.fsum(
+        math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(q) + (n - i) * math.log1p(-q))
+        for i in range(k, n + 1)
+    )
 
 
 def threshold(counts: list[int], share: float = FALSE_SHARE) -> float:
-    """The least bin edge, at most 0.5, above which the estimated share of strings that
-    are no noise is at most ``share``."""
-    noise = 2.0 * sum(counts[BINS // 2 :])
-    for low in range(BINS // 2):
-        accepted = sum(counts[low:])
-        if accepted - noise * (1.0 - low / BINS) <= share * accepted:
+    """The least bin edge, at most 0.5, from which on no run of bins holds significantly
+    more strings than noise and ``share`` of the accepted account for. Fewer than ``FEW``
+    strings can not speak for their lowest bin, so it is left out."""
+    half = BINS // 2
+    high = sum(counts[half:])
+    for low in range(0 if sum(counts) >= FEW else 1, half):
+        allowed = int(share * sum(counts[low:]))
+        runs = sorted({min(r, half - low) for r in RUNS})
+        seen = [sum(counts[low : low + r]) - allowed for r in runs]
+        if all(_binomial_tail(k + high, k, r / (r + half)) * len(runs) > LOST_SHARE for r, k in zip(runs, seen)):
             return low / BINS
     return 0.5
 

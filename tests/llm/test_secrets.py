@@ -46,6 +46,47 @@ def test_thresholds_by_share_of_noise():
     assert secrets.threshold([10] + [0] * 49) == 0.5 or secrets.threshold([10] + [0] * 49) > 0
 
 
+@pytest.mark.parametrize("keys", [1, 3, 10, 30, 100, 1000, 10_000])
+def test_chance_costs_a_stratum_of_noise_little(keys):
+    """Without any text the bound may cost 5 % of the keys, whatever their number."""
+    rng = random.Random(keys)
+    lost = []
+    for _ in range(200):
+        counts = [0] * 50
+        for _ in range(keys):
+            counts[rng.randrange(50)] += 1
+        lost.append(sum(counts[: round(50 * secrets.threshold(counts))]) / keys)
+    assert sum(lost) / len(lost) <= 0.05
+
+
+def test_text_is_still_kept_out():
+    assert secrets.threshold([1] + [0] * 49) > 0
+    assert secrets.threshold([30, 8, 4] + [0] * 47) >= 0.06
+    noisy = [220, 60, 20] + [20] * 47
+    assert 0.04 <= secrets.threshold(noisy) <= 0.06
+
+
+def test_small_strata_are_pooled_over_length():
+    few, many = [1] * 50, [3] * 50
+    pools = secrets.pooled({("hex", 20): few, ("hex", 24): [0] * 49 + [1], ("base62", 20): few, ("hex", 40): many})
+    assert sorted(k for k, _ in pools) == [[("base62", 20)], [("hex", 20), ("hex", 24)], [("hex", 40)]]
+    assert [sum(c) for k, c in pools if k[0] == ("hex", 20)] == [51]
+
+
+def test_recall_of_planted_keys_by_stratum(spark, documents):
+    """Few keys in each stratum; copies of one key count once."""
+    rng = random.Random(11)
+    keys = {
+        (name, n): ["".join(rng.choices(secrets.ALPHABETS[name], k=n)) for _ in range(30)]
+        for name in ("base32", "base36", "base62", "base64", "base64url") for n in (24, 40, 64, 130)
+    }
+    rows = [(i, f"words {k} words", "s") for i, k in enumerate(k for found in keys.values() for k in found)]
+    rows += [(9000 + i, f"copy {i} of {keys['base62', 40][0]}", "s") for i in range(300)]
+    found = {r["text"][a:b] for r in secrets.find_secrets(documents(rows)).collect() for _, a, b in r["spans"]}
+    recall = {s: sum(k in found for k in planted) / len(planted) for s, planted in keys.items()}
+    assert min(recall.values()) >= 0.8 and sum(recall.values()) / len(recall) >= 0.93, recall
+
+
 def test_inferred_encodings():
     assert secrets.encoding_of("0a1b2c") == "hex" and secrets.encoding_of("Ab0-_z") == "base64url"
     assert secrets.encoding_of("QRST2345") == "base32" and secrets.encoding_of("Ab+/-_") is None
