@@ -1,10 +1,14 @@
 """Secrets in documents: fixed patterns, and strings that look random by a test battery.
 
-A candidate is a string of 20 or more letters, digits and +/_- that holds letters and
-digits. Its encoding is inferred from the characters it uses. Under that alphabet three
-tests ask whether it could be uniform noise: chi-squared over bins of the alphabet, the
-number of runs above and below the middle, and the correlation of neighbours. Their
-smallest p-value, corrected for three tests, is uniform for noise and near zero for text.
+A candidate is a string of 20 or more letters, digits and +/_- that holds a letter. It is
+a whole token, a part of one between separators (a key may follow a path or an id, and a
+token that mixes + or / with - or _ fits no alphabet), or what base spans leave of one;
+only what a base span covers whole is no candidate. Its encoding is inferred from the
+characters it uses. Under that alphabet three tests ask whether it could be uniform noise:
+chi-squared over bins of the alphabet, the number of runs above and below the middle, and
+the correlation of neighbours. Strings of letters alone look more like words, so a fourth
+test asks whether their letters are the common ones. The smallest p-value, corrected for the number
+of tests, is uniform for noise and near zero for text.
 
 False discoveries are controlled by strata of encoding and length, as a test says little
 about a short string: the p-values above 0.5, which text does not reach, show how many
@@ -40,11 +44,19 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-DIGIT, LOWER, UPPER = re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
+#: What is tested of a token: the parts that one kind of separator or any leaves.
+PARTS = (re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9]{20,}"))
+LEAST = 20
+SEPARATOR, LETTER = re.compile(r"[+/_-]"), re.compile(r"[A-Za-z]")
 #: Encodings from the narrowest alphabet; the first that fits is inferred.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "hex_upper": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "letters64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
+    "letters64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base36_upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -53,6 +65,12 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 CODES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
+#: Encodings without digits, and about how often European languages use the letters a-z.
+WORDLIKE = ("lower", "upper", "letters", "letters64", "letters64url")
+COMMON = (8, 1.6, 3.4, 4.2, 15, 1.4, 2, 3.2, 7.4, 0.3, 0.6, 4.5, 2.6, 8, 6.2, 2.4, 0.6, 6.8, 7, 7.2, 4.2, 1.4, 1, 0.3, 1, 0.7)
+SCORES = {c: math.log(f) for c, f in zip("abcdefghijklmnopqrstuvwxyz", COMMON)}
+SCORE_MEAN = sum(SCORES.values()) / 26
+SCORE_VARIANCE = sum((s - SCORE_MEAN) ** 2 for s in SCORES.values()) / 26
 FALSE_SHARE = 0.01
 #: Level of the test for text in a stratum, and bound of the noise that chance may cost:
 #: the lowest bin (0.02), and with this probability up to 0.48 more.
@@ -131,27 +149,59 @@ def serial_p(codes: list[int]) -> float:
     return 2.0 * _normal_tail(abs(r) * math.sqrt(n))
 
 
+def letters_p(token: str) -> float:
+    """Sum of the scores of the letters; common letters are unlike noise."""
+    scores = [SCORES[c] - SCORE_MEAN for c in token.lower() if c in SCORES]
+    return _normal_tail(sum(scores) / math.sqrt(SCORE_VARIANCE * len(scores))) if scores else 0.0
+
+
 def noise_p(token: str, encoding: str) -> float:
-    """p-value of the token under uniform noise in its encoding, over the three tests."""
+    """p-value of the token under uniform noise in its encoding, over its tests."""
     codes = [CODES[encoding][c] for c in token]
     size = len(ALPHABETS[encoding])
-    least = min(chi_squared_p(codes, size), runs_p(codes, size), serial_p(codes))
-    return 1.0 - (1.0 - min(least, 1.0)) ** 3
+    tests = [chi_squared_p(codes, size), runs_p(codes, size), serial_p(codes)]
+    if encoding in WORDLIKE:
+        tests.append(letters_p(token))
+    return 1.0 - (1.0 - min(*tests, 1.0)) ** len(tests)
 
 
 def stratum(length: int) -> int:
     return max(low for low in LENGTHS if low <= length)
 
 
-def candidates(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, encoding, p) of the strings that are tested."""
+def _uncovered(start: int, end: int, base: list[Span]) -> list[tuple[int, int]]:
+    """The parts of ``start:end`` that no base span covers."""
+    left, at = [], start
+    for a, b in sorted((a, b) for _, a, b in base if a < end and start < b):
+        if a > at:
+            left.append((at, a))
+        at = max(at, b)
+    return [*left, (at, end)] if at < end else left
+
+
+def candidates(text: str, base: list[Span] | None = None) -> list[tuple[int, int, str, float]]:
+    """(start, end, encoding, p) of the strings that are tested. A span is tested once;
+    of what base spans leave, separators at the ends are no part."""
+    base = base_spans(text) if base is None else base
     found = []
     for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if DIGIT.search(token) and (LOWER.search(token) or UPPER.search(token)):
-            encoding = encoding_of(token)
+        pieces = _uncovered(m.start(), m.end(), base)
+        places = {m.span(): None} if pieces else {}
+        for a, b in pieces:
+            if b - a < LEAST:
+                continue
+            piece = text[a:b]
+            if (a, b) != m.span():
+                inner = piece.strip("+/_-")
+                a += len(piece) - len(piece.lstrip("+/_-"))
+                places[a, a + len(inner)] = None
+            if SEPARATOR.search(piece):
+                places |= {p.span(): None for form in PARTS for p in form.finditer(text, a, b)}
+        for a, b in places:
+            token = text[a:b]
+            encoding = encoding_of(token) if b - a >= LEAST and LETTER.search(token) else None
             if encoding:
-                found.append((m.start(), m.end(), encoding, noise_p(token, encoding)))
+                found.append((a, b, encoding, noise_p(token, encoding)))
     return found
 
 
@@ -221,13 +271,14 @@ def threshold(counts: list[int], share: float = FALSE_SHARE) -> float:
 
 
 def all_spans(text: str, accepted: dict[tuple[str, int], float]) -> list[Span]:
-    """Base spans, and accepted random strings outside them."""
+    """Base spans, and accepted random strings that lie in no longer one. A random string
+    may overlap a base span that covers a part of it."""
     base = base_spans(text)
-    extra = [
-        ("random", a, b)
-        for a, b, encoding, p in candidates(text)
-        if p >= accepted.get((encoding, stratum(b - a)), 0.5) and not any(s < b and a < e for _, s, e in base)
-    ]
+    extra: list[Span] = []
+    fit = [(a, b) for a, b, encoding, p in candidates(text, base) if p >= accepted.get((encoding, stratum(b - a)), 0.5)]
+    for a, b in sorted(fit, key=lambda s: (s[0], -s[1])):
+        if not extra or b > extra[-1][2]:
+            extra.append(("random", a, b))
     return sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
