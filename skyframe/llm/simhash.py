@@ -6,6 +6,12 @@ is cut again by the bits its rows have not yet agreed on, which stays exact. Ins
 group the bits are stored vertically: one word holds one bit of 64 fingerprints, and a
 few carry-save counters follow the distances of 64 pairs at once.
 
+A corpus (``one_of_each``) takes shorter shingles and a wider radius, so that most texts
+with a similarity of 0.8 or more are within it. There a link is a proposal: the two texts
+are compared, and it counts if the Jaccard similarity of their five-word shingles is
+``SIMILAR`` or more. As all pairs of a large group are too many, each group proposes two
+forests of its nearest pairs.
+
 Defined results: a text that is null, empty or white space has the fingerprint zero.
 Repeated rows each give a row. A null ``doc_id`` is ignored when the smallest of a
 component is taken, and is the component if the component has no other. Only the two
@@ -29,6 +35,12 @@ from skyframe.session import broadcast_if_small, materialize
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
+#: Near copies of a corpus: words of a shingle and bits by which fingerprints propose
+#: them, then words of a shingle and least Jaccard similarity.
+CORPUS_WORDS = 3
+CORPUS_RADIUS = 8
+SIMILAR_WORDS = 5
+SIMILAR = 0.8
 #: Distinct fingerprints of one group that are compared with each other in one task.
 GROUP_ROWS = 2048
 #: Levels of bands; after them a group is compared block by block.
@@ -62,8 +74,9 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> in
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, text_hash, fp) per row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, text_hash, fp, node) per row; ``fp`` holds the 64 bits as a signed long, and
+    ``node`` is a hash of the words in order."""
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_column).cast("long").alias("id"),
@@ -72,14 +85,18 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            found = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64)
+            texts = utf8(batch.column("text"))
+            found = np.array([fingerprint(t, words) for t in texts], np.uint64)
+            nodes = np.array([xxh64_intdigest(b" ".join(t.lower().split()), SEED) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), pa.array(found.view(np.int64))],
-                names=["id", "text_hash", "fp"],
+                [batch.column("id"), batch.column("text_hash"), pa.array(found.view(np.int64)), pa.array(nodes.view(np.int64))],
+                names=["id", "text_hash", "fp", "node"],
             )
 
-    return rows.mapInArrow(run, "id long, text_hash long, fp long")
+    return rows.mapInArrow(run, "id long, text_hash long, fp long, node long")
 
 
 @lru_cache(maxsize=4096)
@@ -187,6 +204,52 @@ def spanning_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.
     links to its first row.
     """
     root = np.arange(len(fp))
+    for left, right in close_pairs(fp, starts, radius):
+        unite(root, left, right)
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return moved, root[moved]
+
+
+def nearest_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Close pairs of each group: a spanning forest of the nearest, and one of the rest.
+    At most two for each row, however many pairs are close."""
+    left = right = np.zeros(0, np.int64)
+    for more in close_pairs(fp, starts, radius):
+        once = more[0] < more[1]
+        left, right = np.concatenate([left, more[0][once]]), np.concatenate([right, more[1][once]])
+        bits = np.bitwise_count(fp[left] ^ fp[right])
+        first = _forest(left, right, bits, len(fp))
+        rest = np.flatnonzero(~first)
+        first[rest[_forest(left[rest], right[rest], bits[rest], len(fp))]] = True
+        left, right = left[first], right[first]
+    return left, right
+
+
+def _forest(left: np.ndarray, right: np.ndarray, bits: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs are in the least spanning forest; each set takes its least pair, and the
+    sets so joined go on."""
+    taken = np.zeros(len(left), bool)
+    root = np.arange(n)
+    # The position breaks ties, so that no two pairs are equal and no circle closes.
+    rank = np.empty(len(left), np.int64)
+    rank[np.lexsort((np.arange(len(left)), bits))] = np.arange(len(left))
+    at = np.argsort(rank)
+    open_ = np.arange(len(left))
+    while True:
+        open_ = open_[root[left[open_]] != root[right[open_]]]
+        if not len(open_):
+            return taken
+        least = np.full(n, len(rank))
+        np.minimum.at(least, root[left[open_]], rank[open_])
+        np.minimum.at(least, root[right[open_]], rank[open_])
+        chosen = at[np.unique(least[least < len(rank)])]
+        taken[chosen] = True
+        unite(root, left[chosen], right[chosen])
+
+
+def close_pairs(fp: np.ndarray, starts: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows at most ``radius`` bits apart inside each group, some at a time. Of two rows of
+    one block both orders come."""
     order_planes, block_rows, pairs_q, pairs_b = [], [], [], []
     blocks = 0
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -202,7 +265,7 @@ def spanning_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.
         pairs_b.append(blocks + np.repeat(count - later, later) + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later))
         blocks += count
     if not blocks:
-        return root[:0], root[:0]
+        return
     planes, rows = np.concatenate(order_planes), np.concatenate(block_rows)
     q, b = np.concatenate(pairs_q), np.concatenate(pairs_b)
     for at in range(0, len(q), 65_536):
@@ -217,9 +280,7 @@ def spanning_links(fp: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.
             left, base = part_q[some][i], rows[part_b[some][i]]
             right = base[:, 0] + offset
             real = (right < base[:, 1]) & (right != left)
-            unite(root, left[real], right[real])
-    moved = np.flatnonzero(root != np.arange(len(root)))
-    return moved, root[moved]
+            yield left[real], right[real]
 
 
 def unite(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
@@ -239,14 +300,15 @@ def unite(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             root[:] = nearer
 
 
-def _compare(rows: DataFrame, radius: int) -> DataFrame:
+def _compare(rows: DataFrame, radius: int, nearest: bool) -> DataFrame:
     """Links (a, b) inside the groups (path, key) of ``rows``."""
     keys = ["path", "key"]
+    linked = nearest_links if nearest else spanning_links
 
     def run(batches):
         for block in groups_in_order(batches, keys):
             fp = block["fp"].view(np.uint64)
-            i, j = spanning_links(fp, run_starts(block, keys), radius)
+            i, j = linked(fp, run_starts(block, keys), radius)
             if len(i):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["a", "b"]
@@ -269,8 +331,9 @@ def _blockwise(rows: DataFrame, counts: DataFrame, group_rows: int) -> DataFrame
     return spread.select(F.xxhash64("path", "key").alias("path"), F.xxhash64("key", "p.low", "p.high").alias("key"), "fp")
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within ``radius`` bits."""
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS, nearest: bool = False) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints within ``radius`` bits. The two
+    of a ``nearest`` link are that close themselves."""
     spark = distinct.sparkSession
     small_batches(spark)
     links = None
@@ -280,13 +343,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_rows: int
         counts = rows.groupBy("path", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows)
         counts = materialize(counts, "hot")
         hot = broadcast_if_small(counts.select("path", "key"), BROADCAST_KEYS)
-        here = _compare(rows.join(hot, ["path", "key"], "left_anti"), radius)
+        here = _compare(rows.join(hot, ["path", "key"], "left_anti"), radius, nearest)
         links = here if links is None else links.unionAll(here)
         if counts.isEmpty():
             return links
         rows = rows.join(hot, ["path", "key"], "left_semi")
         if level == LEVELS - 1:
-            return links.unionAll(_compare(_blockwise(rows, counts, group_rows), radius))
+            return links.unionAll(_compare(_blockwise(rows, counts, group_rows), radius, nearest))
     return links
 
 
@@ -318,10 +381,74 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest
-    id stays (of rows repeated whole, one)."""
-    groups = near_duplicates(docs, id_column, text_column, radius)
+def similar(left: bytes, right: bytes, words: int = SIMILAR_WORDS, least: float = SIMILAR) -> bool:
+    """Whether the sets of shingles have a Jaccard similarity of ``least`` or more. Texts of
+    fewer words are one shingle; two without words are alike."""
+
+    def shingles(text: bytes) -> set[bytes]:
+        parts = text.lower().split()
+        width = min(words, len(parts))
+        return {b" ".join(parts[i : i + width]) for i in range(len(parts) - width + 1)} if parts else set()
+
+    a, b = shingles(left), shingles(right)
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    common = len(a & b)
+    return common >= least * (len(a) + len(b) - common)
+
+
+def similar_links(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``links`` (a, b) whose texts (node, text) are similar."""
+    ends = broadcast_if_small(links, BROADCAST_KEYS)
+    sides = [texts.withColumnsRenamed({"node": e, "text": f"text_{e}"}).join(ends, e).select("a", "b", f"text_{e}") for e in "ab"]
+
+    def run(batches):
+        for batch in batches:
+            a, b = utf8(batch.column("text_a")), utf8(batch.column("text_b"))
+            good = pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    return sides[0].join(sides[1], ["a", "b"]).mapInArrow(run, "a long, b long")
+
+
+def similar_groups(
+    docs: DataFrame, id_column: str, text_column: str, radius: int = CORPUS_RADIUS, words: int = CORPUS_WORDS
+) -> DataFrame:
+    """(id, text_hash, component_id, first_hash) per row, with the components of texts that
+    fingerprints propose and shingles confirm."""
+    marked = materialize(fingerprints(docs, id_column, text_column, words), "fingerprints")
+    nodes = marked.groupBy("fp", "node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"))
+    nodes = materialize(nodes, "nodes")
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    near = materialize(fingerprint_links(heads.select("fp"), radius, nearest=True).distinct(), "near")
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(
+        heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b"
+    )
+    equal = nodes.join(heads, "fp").filter("node <> head")
+    links = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(equal.select(F.col("head").alias("a"), F.col("node").alias("b")))
+    links = materialize(links, "proposed")
+    # One text of every node that a link names; texts of one node have the same words.
+    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(named, "node").select("node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("text"))
+    wanted = broadcast_if_small(wanted, BROADCAST_KEYS)
+    on = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_hash"])
+    texts = materialize(rows.join(wanted, on).select("node", "text").dropDuplicates(["node"]), "texts")
+    found = connected_components(similar_links(links, texts))
+    classes = materialize(nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "classes")
+    smallest = classes.groupBy("component").agg(F.min("first").alias("smallest"))
+    labels = materialize(classes.join(smallest, "component").select("node", "smallest"), "labels")
+    return marked.join(labels, "node").select(
+        F.col("id").alias(id_column), "text_hash", F.col("smallest.id").alias("component_id"), F.col("smallest.text_hash").alias("first_hash")
+    )
+
+
+def one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = CORPUS_RADIUS, words: int = CORPUS_WORDS
+) -> DataFrame:
+    """The documents without near copies: of each component the row with the smallest id
+    stays (of rows repeated whole, one)."""
+    groups = similar_groups(docs, id_column, text_column, radius, words)
     kept = groups.filter(
         F.col(id_column).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
     )

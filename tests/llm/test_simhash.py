@@ -120,6 +120,47 @@ def test_one_of_each_group_stays(spark, documents, odd_rows):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} <= {i for i, _, _ in texts}
 
 
+def shingles(text, words=5):
+    parts = text.lower().split()
+    return {" ".join(parts[i : i + words]) for i in range(len(parts) - words + 1)}
+
+
+def test_near_copies_of_a_corpus_go_by_similarity(spark, documents):
+    """Copies at a similarity of 0.8 to 0.95 mostly go, and none below 0.8 does."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    rows, similarity = [], {}
+    for i in range(120):
+        text = rng.choices(words, k=200)
+        rows.append((2 * i, " ".join(text), "s"))
+        copy = text[:]
+        for at in rng.sample(range(200), rng.choice([1, 2, 3, 4, 8])):
+            copy[at] = "changed"
+        rows.append((2 * i + 1, " ".join(copy), "s"))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        similarity[2 * i + 1] = len(a & b) / len(a | b)
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()}
+    assert kept >= {2 * i for i in range(120)} | {i for i, j in similarity.items() if j < 0.8}
+    near = [i for i, j in similarity.items() if 0.8 <= j < 0.95]
+    assert len(near) > 50 and sum(i not in kept for i in near) >= 0.6 * len(near)
+
+
+def test_nearest_links_are_close_and_connect():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fp = np.unique(np.array([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 3, dtype=np.uint64)) for b in base for _ in range(60)]))
+    i, j = simhash.nearest_links(fp, np.array([0, len(fp)]), 8)
+    assert len(i) <= 2 * len(fp) and (np.bitwise_count(fp[i] ^ fp[j]) <= 8).all()
+    root = np.arange(len(fp))
+    simhash.unite(root, i, j)
+    assert root.tolist() == groups(fp.tolist(), 8)
+
+
+def test_texts_of_one_fingerprint_are_compared():
+    assert simhash.similar(b"A b", b"a  B") and simhash.similar(b"", b" ") and not simhash.similar(b"", b"a")
+    assert not simhash.similar(b"a b c d e f", b"a b c d e g")
+
+
 def test_empty_table(spark, documents):
     assert simhash.near_duplicates(documents([])).collect() == []
     assert simhash.one_of_each(documents([])).collect() == []
