@@ -3,12 +3,13 @@
 The parser of the standard library streams tags and text. Block tags end a line; each
 line has its text and the tags met since the line before. The ratio of text to tags,
 smoothed by a Gaussian over neighbouring lines and cut at its own standard deviation,
-clusters lines into content and the rest. Content lines select regions: the articles (or
-main elements) that hold them or, in a page that marks none, the smallest container with
-nearly all their text. A selected region is given whole, so that its short lines, such
-as headings, stay; what lies in menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments is left out wherever it stands, by its tag, role
-or class words.
+clusters lines into content and the rest. Regions are given whole, so that their short
+lines, such as headings, stay: all articles (or main elements) or, in a page that marks
+none, the smallest container outside of which no line is content; a list or a table is no
+such container. What lies in menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments is left out wherever it stands, by its tag, role or
+class words. Class words never leave out an article or a main element by its own class,
+nor what holds the only ones or the only text of a page.
 
 Defined results: a null or empty page, and one without text, gives the empty text.
 Unclosed and crossing tags are closed by the tag that ends their parent; a page may end
@@ -31,6 +32,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr img".split()
 )
+#: Not entered in search of the smallest container.
+WHOLE = frozenset("ul ol dl table td".split())
 CONTAINERS = frozenset("article main body section div td center table ul ol dl blockquote".split())
 LEFT_OUT = frozenset(
     "head title script style noscript template nav menu header footer aside form button select option textarea fieldset "
@@ -45,6 +48,12 @@ MARKS = frozenset(
     "login comment comments commentlist disqus respond replies reply related recommended share sharing social search "
     "pagination pager toolbar".split()
 )
+#: Words that may stand beside a mark in a class name; with one, it marks what holds less
+#: than half of the page's text.
+NEUTRAL = frozenset(
+    "site page main global top bottom left right primary secondary sticky fixed mobile desktop inner outer box block bar list "
+    "links link items item wrapper wrap container area section slot unit group".split()
+)
 #: A new tag of the first kind closes an open one of the second.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -55,20 +64,21 @@ BARRIERS = frozenset("ul ol dl table article main body section div td th".split(
 WORDS = re.compile(r"[a-z]+")
 SIGMA = 1.0
 RADIUS = 2
-#: Share of the content's text that a container must hold to be entered.
-NEARLY_ALL = 0.9
+#: How class words mark an element.
+UNMARKED, WEAK, STRONG = 0, 1, 2
 
 
 class PageReader(HTMLParser):
-    """Collects lines: (container, text, tags). Containers form a tree by ``parents``."""
+    """Collects lines: (container, pieces, tags, is a heading), where a piece is a container
+    and text. Containers form a tree by ``parents``; ``marks`` tells class marks."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, left out, container
         self.counts: dict[str, int] = {}
-        self.parents, self.kinds = [-1], ["page"]
-        self.lines: list[tuple[int, str, int]] = []
-        self.text: list[str] = []
+        self.parents, self.kinds, self.marks = [-1], ["page"], [UNMARKED]
+        self.lines: list[tuple[int, list[tuple[int, str]], int, bool]] = []
+        self.text: list[tuple[int, str]] = []
         self.tags = 0
 
     def _left_out(self) -> bool:
@@ -78,9 +88,8 @@ class PageReader(HTMLParser):
         return self.open[-1][2] if self.open else 0
 
     def _end_line(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if text:
-            self.lines.append((self._container(), text, self.tags))
+        if any(text.strip() for _, text in self.text):
+            self.lines.append((self._container(), self.text, self.tags, bool(self.counts.get("h1"))))
             self.tags = 0
         self.text = []
 
@@ -94,18 +103,20 @@ class PageReader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((self._container(), " "))
             return
         if tag not in INLINE:
             self._end_line()
             self._close_before(tag)
         if tag in VOID:
             return
-        out = self._left_out() or tag in LEFT_OUT or (tag not in ("body", "html") and _marked(attrs))
+        out = self._left_out() or tag in LEFT_OUT or (tag not in ("body", "html") and _hidden(attrs))
+        mark = UNMARKED if out or tag in ("body", "html", "article", "main") else _mark(attrs)
         container = self._container()
-        if tag in CONTAINERS and not out:
+        if (tag in CONTAINERS or mark) and not out:
             self.parents.append(container)
             self.kinds.append(tag)
+            self.marks.append(mark)
             container = len(self.parents) - 1
         self.open.append((tag, out, container))
         self.counts[tag] = self.counts.get(tag, 0) + 1
@@ -135,24 +146,34 @@ class PageReader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self._left_out():
-            self.text.append(data)
+            self.text.append((self._container(), data))
 
     def close(self) -> None:
         super().close()
         self._end_line()
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
         if value and name == "role" and value.lower() in ROLES:
             return True
-        if value and name in ("class", "id") and not MARKS.isdisjoint(WORDS.findall(value.lower())):
-            return True
     return False
 
 
+def _mark(attrs: list[tuple[str, str | None]]) -> int:
+    """By whole names: all their words are marks, or all but neutral ones."""
+    found = UNMARKED
+    for name, value in attrs:
+        if value and name in ("class", "id"):
+            for token in value.lower().split():
+                words = set(WORDS.findall(token))
+                if words & MARKS and words <= MARKS | NEUTRAL:
+                    found = max(found, STRONG if words <= MARKS else WEAK)
+    return found
+
+
 def content_lines(ratios: np.ndarray) -> np.ndarray:
     """Lines whose smoothed text-to-tag ratio reaches the standard deviation."""
     reach = np.arange(-RADIUS, RADIUS + 1)
@@ -166,38 +187,77 @@ def main_text(html: str) -> str:
     reader = PageReader()
     reader.feed(html)
     reader.close()
-    lines = reader.lines
+    out = _left_out(reader)
+    lines: list[tuple[int, str, int, bool]] = []
+    carried = 0
+    for node, pieces, tags, heading in reader.lines:
+        text = " ".join("".join(t for at, t in pieces if not out[at]).split())
+        carried += tags
+        if text:
+            lines.append((node, text, carried, heading))
+            carried = 0
     if not lines:
         return ""
-    content = content_lines(np.array([len(text) / max(tags, 1) for _, text, tags in lines]))
-    chosen = _regions(reader, content)
+    content = content_lines(np.array([len(text) / max(tags, 1) for _, text, tags, _ in lines]))
+    chosen = _regions(reader, lines, content)
     inside = [False] * len(reader.parents)
     for node, parent in enumerate(reader.parents):  # a parent comes before its children
         inside[node] = node in chosen or (parent >= 0 and inside[parent])
-    return " ".join(text for node, text, _ in lines if inside[node])
+    return " ".join(text for node, text, _, _ in lines if inside[node])
 
 
-def _regions(reader: PageReader, content: np.ndarray) -> set[int]:
+def _sums(parents: list[int], values: list[int]) -> list[int]:
+    """Values of each container with those inside it."""
+    total = list(values)
+    for node in range(len(parents) - 1, 0, -1):
+        total[parents[node]] += total[node]
+    return total
+
+
+def _left_out(reader: PageReader) -> list[bool]:
+    """Containers that class words leave out, with all that is in them."""
+    parents, marks = reader.parents, reader.marks
+    length = [0] * len(parents)
+    for _, pieces, _, _ in reader.lines:
+        for node, text in pieces:
+            length[node] += len("".join(text.split()))
+    length = _sums(parents, length)
+    mains = [int(kind in ("article", "main") and n > 0) for kind, n in zip(reader.kinds, length)]
+    holds = _sums(parents, mains)
+    # A layout's wrapper is named after what stands in it.
+    marked = [m == STRONG or (m == WEAK and 2 * n <= length[0]) for m, n in zip(marks, length)]
+    while True:
+        out = [False] * len(parents)
+        for node in range(1, len(parents)):
+            out[node] = marked[node] or out[parents[node]]
+        if not holds[0] or any(m and not o for m, o in zip(mains, out)):
+            break
+        # All articles are in marked elements: the outermost of those are no boilerplate.
+        marked = [m and not (h and not out[p]) for m, h, p in zip(marked, holds, parents)]
+    if length[0] and not any(text.strip() for _, pieces, _, _ in reader.lines for node, text in pieces if not out[node]):
+        return [False] * len(parents)
+    return out
+
+
+def _regions(reader: PageReader, lines: list[tuple[int, str, int, bool]], content: np.ndarray) -> set[int]:
     """Containers to give whole."""
     parents, kinds = reader.parents, reader.kinds
     mass = [0] * len(parents)
     length = [0] * len(parents)
-    for (node, text, _), good in zip(reader.lines, content.tolist()):
+    for (node, text, _, heading), good in zip(lines, content.tolist()):
         length[node] += len(text)
-        mass[node] += len(text) if good else 0
-    for node in range(len(parents) - 1, 0, -1):
-        mass[parents[node]] += mass[node]
-        length[parents[node]] += length[node]
+        mass[node] += len(text) if good or heading else 0
+    mass, length = _sums(parents, mass), _sums(parents, length)
     marked = _outermost(parents, [n for n, kind in enumerate(kinds) if kind == "article" and length[n]])
     marked = marked or _outermost(parents, [n for n, kind in enumerate(kinds) if kind == "main" and length[n]])
     if marked:
-        return {n for n in marked if mass[n]} or set(marked)
+        return set(marked)
     at = 0
     while True:
-        heavy = [n for n, p in enumerate(parents) if p == at and mass[n] >= NEARLY_ALL * mass[0] and mass[n]]
-        if not heavy:
+        whole = [n for n, p in enumerate(parents) if p == at and mass[n] and mass[n] == mass[at] and kinds[n] not in WHOLE]
+        if not whole:
             return {at}
-        at = heavy[0]
+        at = whole[0]
 
 
 def _outermost(parents: list[int], nodes: list[int]) -> list[int]:

@@ -33,6 +33,30 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "many plain words in a row " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><p>" + "intro " * 50 + "</p><div><p>" + LONG * 7 + "</p></div></div>", "intro " * 50 + LONG * 7),
+        ("<body><h1>Title</h1><p>A lead of some words, on one line.</p><ul><li>" + LONG * 9 + "</ul>", "Title A lead of some words, on one line. " + LONG * 9),
+        ("<body><h1>Title</h1><table><tr><td>" + LONG * 9 + "</table>", "Title " + LONG * 9),
+        ("<article><p>" + LONG + "</p></article><article><a>b</a><a>c</a></article>", LONG + "bc"),
+        ("<div class='layout right-sidebar'><p>" + LONG + "</p></div>", LONG),
+        ("<div id='no-sidebar'><p>x y</p></div>", "x y"),
+        ("<article class='post comments-open'><p>x y</p></article>", "x y"),
+        ("<div class='sidebar'><main><p>x y</p></main><p>z</p></div>", "x y"),
+        ("<p>" + LONG + "</p><div class='site-footer'>f</div><p>a <span class='share'>s</span> b</p>", LONG + "a b"),
+        ("<article><p>x</p><div class='comments'><article><p>" + LONG + "</p></article></div></article>", "x"),
+        ("<article><p>x</p></article><div class='comments'><article><p>" + LONG + "</p></article></div>", "x"),
+        ("<div class='sidebar'><article><p>x</p><div class='comments'><article>c</article></div></article></div>", "x"),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert html_text.main_text(page) == " ".join(text.split())
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 3000 + "x") == "x"
     page = "<article>" + "<p>some words here</p>" * 20_000 + "</article>"
