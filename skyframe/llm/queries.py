@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, embedding_dedup, html_text, mixing, quality, secrets, sharding, simhash, token_output, topk
+from skyframe.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, quality, secrets, sharding, simhash, token_output, topk
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -168,6 +168,24 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.drop_common_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+LINE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+m AS (SELECT r, doc_id, line, pos, key IN (SELECT key FROM c) AS gone FROM k)
+SELECT any_value(doc_id) AS doc_id, count(*)::bigint AS n_lines, count(*) FILTER (gone)::bigint AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
 QUERIES: dict[str, Run] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -179,10 +197,12 @@ QUERIES: dict[str, Run] = {
     "op8_topk": op8_topk,
     "op9_token_output": op9_token_output,
     "op10_secrets": op10_secrets,
+    "op11_line_dedup": op11_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": EMBEDDING_SQL,
     "op3_mixing": MIXING_SQL,
     "op4_html_text": HTML_SQL,
     "op8_topk": TOPK_SQL,
+    "op11_line_dedup": LINE_SQL,
 }
