@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyframe.llm import bpe, embedding_dedup, html_text, line_dedup, mixing, quality, secrets, sharding, simhash, token_output, topk
+from skyframe.llm import (
+    bpe,
+    embedding_dedup,
+    html_text,
+    line_dedup,
+    mixing,
+    phrases,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    token_alignment,
+    token_output,
+    topk,
+)
 from skyframe.llm.common import table
 from skyframe.session import new_folder
 
@@ -186,6 +200,47 @@ FROM m GROUP BY r
 """
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    aligned = token_alignment.align_documents(table(spark, folder, "documents").select("doc_id", "text"), *paths)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    weighed = token_alignment.weigh_links(aligned.withColumn("groups_sha256", digest).drop("groups"), *paths)
+    columns = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    return weighed.select(F.col("id").alias("doc_id"), *columns)
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+PHRASE_SQL = """
+WITH RECURSIVE pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+  SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM places, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE i + s - 1 <= len(w)),
+n AS (SELECT lang, sum(len(w))::bigint AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, s, phrase, count(*)::bigint AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE s > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, (2000000::hugeint * c.a // (x.f + y.f))::bigint AS score
+  FROM (SELECT *, unnest(range(1, s)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + t - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, s - t + 2)) AS i FROM (SELECT *, unnest(range(2, s)) AS t FROM cand)) GROUP BY ALL),
+stay AS (
+  SELECT o.* FROM lowest o LEFT JOIN inner_parts q ON o.lang = q.lang AND o.phrase = q.phrase
+  WHERE q.longer IS NULL OR 100 * q.longer < 80 * o.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES: dict[str, Run] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -198,6 +253,8 @@ QUERIES: dict[str, Run] = {
     "op9_token_output": op9_token_output,
     "op10_secrets": op10_secrets,
     "op11_line_dedup": op11_line_dedup,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_phrases": op13_phrases,
 }
 ORACLES: dict[str, str] = {
     "op2_embedding_dedup": EMBEDDING_SQL,
@@ -205,4 +262,5 @@ ORACLES: dict[str, str] = {
     "op4_html_text": HTML_SQL,
     "op8_topk": TOPK_SQL,
     "op11_line_dedup": LINE_SQL,
+    "op13_phrases": PHRASE_SQL,
 }
