@@ -8,6 +8,8 @@ EARTH_MU_KM3_S2 = 398600.4418
 WGS72_MU_KM3_S2 = 398600.8
 WGS72_RADIUS_KM = 6378.135
 WGS72_J2 = 0.001082616
+WGS72_J3 = -0.00000253881
+WGS72_J4 = -0.00000165597
 EARTH_EQUATORIAL_RADIUS_M = 6_378_137
 CURVATURE_SAFETY_FACTOR = 8.0
 POSITION_PADDING_KM = 1e-9

@@ -17,6 +17,9 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Keeps state outside the heap, however many keys a job has.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # The virtual machine never compiles a method above 8,000 bytes, and whole orbit models in
+    # one method would be interpreted. Beyond it projections are generated one by one.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -36,6 +36,7 @@ def load() -> dict[str, Query]:
         briefs,
         catalogue,
         operations,
+        perturbed,
         reports,
         screening,
         selection,
