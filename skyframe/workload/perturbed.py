@@ -103,6 +103,16 @@ def model_states_sql(name: str, source: str, kept: str) -> str:
     return f"{name} AS MATERIALIZED (SELECT {kept}, at_us, {fields}, {G.error_text('t_code')} AS error FROM {body})"
 
 
+def rounded(name: str):
+    """To four places, without a negative zero."""
+    value = F.round(name, 4)
+    return F.when(value == 0, 0.0).otherwise(value)
+
+
+def rounded_sql(name: str) -> str:
+    return f"CASE WHEN round({name}, 4) = 0 THEN 0e0 ELSE round({name}, 4) END"
+
+
 def latest(spark, folder):
     return Sel.latest_by_source(wide_elements(spark, folder), "celestrak")
 
@@ -117,7 +127,7 @@ ONCE_STATES = model_states_sql("now_states", "at_now", "object_id, element_id, e
     with_views(ELEMENTS, WIDE, LATEST_WIDE, CONSTANTS, ONCE, ONCE_STATES)
     + "SELECT object_id, element_id, 'TEME' AS frame, live AND error IS NULL AS success, "
     + f"({NOW_US} - epoch_us(epoch)) / 1000000.0::DOUBLE AS ephemeris_age_seconds, {STATUS} AS ephemeris_status, "
-    + ", ".join(f"CASE WHEN success THEN round({c}, 4) END AS {n}" for c, n in STATE_NAMES.items())
+    + ", ".join(f"CASE WHEN success THEN {rounded_sql(c)} END AS {n}" for c, n in STATE_NAMES.items())
     + f""", CASE WHEN NOT live THEN 'ExpiredEphemeris' WHEN error IS NOT NULL THEN 'PropagationError' END AS error_type,
       CASE WHEN NOT live THEN printf('Orbital element age %.2fh exceeds maximum %.2fh',
         ({NOW_US} - epoch_us(epoch)) / 3600000000.0::DOUBLE, 72.0::DOUBLE) ELSE error END AS error_message
@@ -126,7 +136,7 @@ ONCE_STATES = model_states_sql("now_states", "at_now", "object_id, element_id, e
 def perturbed_states(spark, folder):
     """H3 with the full model, deep space and resonance included."""
     states = P.propagate_once(latest(spark, folder), V.now(), MODEL).drop("target_time")
-    return states.withColumns({n: F.round(n, 4) for n in STATE_NAMES.values()})
+    return states.withColumns({n: rounded(n) for n in STATE_NAMES.values()})
 
 
 GRID = f"""on_grid AS (
@@ -138,14 +148,14 @@ GRID_STATES = model_states_sql("model_states", "live_grid", "object_id, sample_i
 @query(
     with_views(ELEMENTS, WIDE, LATEST_WIDE, CONSTANTS, GRID, GRID_STATES)
     + "SELECT object_id, sample_index::INTEGER AS sample_index, at_us AS sample_us, "
-    + ", ".join(f"CASE WHEN error IS NULL THEN round({c}, 4) END AS {c}" for c in STATE)
+    + ", ".join(f"CASE WHEN error IS NULL THEN {rounded_sql(c)} END AS {c}" for c in STATE)
     + ", error FROM model_states"
 )
 def perturbed_grid(spark, folder):
     """H4 with the full model over the screening grid."""
     gridded = P.on_grid(MODEL.prepare(latest(spark, folder)), V.NOW, HORIZON, STEP)
     states = P.propagate_grid(gridded, MODEL)
-    return states.withColumns({c: F.when(F.col("error").isNull(), F.round(c, 4)) for c in STATE})
+    return states.withColumns({c: F.when(F.col("error").isNull(), rounded(c)) for c in STATE})
 
 
 @query(
