@@ -41,30 +41,34 @@ def append_new_elements(elements: DataFrame, table: str, checkpoint: str):
     partitioned by the day of the epoch, and a batch reads only the days it holds.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(list(ELEMENT_KEY)).withColumn("epoch_day", F.to_date("epoch"))
-        if path_exists(batch.sparkSession, table):
-            stored = batch.sparkSession.read.parquet(table).filter(F.col("batch_id") < batch_id)
-            days = [r[0] for r in once.select("epoch_day").distinct().limit(MAX_LISTED_DAYS + 1).collect()]
-            if len(days) <= MAX_LISTED_DAYS:  # the list prunes partitions; the join is the same without
-                stored = stored.filter(F.col("epoch_day").isin(days))
-            once = once.join(stored.select(*ELEMENT_KEY), list(ELEMENT_KEY), "left_anti")
-        (
-            once.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch_day", "batch_id")
-            .parquet(table)
-        )
-
     return (
-        elements.writeStream.foreachBatch(write)
+        elements.writeStream.foreachBatch(lambda batch, batch_id: write_new_elements(batch, batch_id, table))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def write_new_elements(batch: DataFrame, batch_id: int, table: str) -> None:
+    """One batch of ``append_new_elements``. Rows of a day are gathered before they are
+    written, so a day and batch is a file or, if it is large, a few."""
+    once = batch.dropDuplicates(list(ELEMENT_KEY)).withColumn("epoch_day", F.to_date("epoch"))
+    if path_exists(batch.sparkSession, table):
+        stored = batch.sparkSession.read.parquet(table).filter(F.col("batch_id") < batch_id)
+        days = [r[0] for r in once.select("epoch_day").distinct().limit(MAX_LISTED_DAYS + 1).collect()]
+        if len(days) <= MAX_LISTED_DAYS:  # the list prunes partitions; the join is the same without
+            stored = stored.filter(F.col("epoch_day").isin(days))
+        once = once.join(stored.select(*ELEMENT_KEY), list(ELEMENT_KEY), "left_anti")
+    (
+        once.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        .hint("rebalance", "epoch_day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("epoch_day", "batch_id")
+        .parquet(table)
+    )
+
+
 def canonical_elements(elements: DataFrame) -> DataFrame:
     """Running canonical element per object, for update mode. A late epoch never
     displaces a newer one. The state is one row per object."""
@@ -80,13 +84,22 @@ def canonical_elements(elements: DataFrame) -> DataFrame:
 def failure_windows(
     executions: DataFrame, lateness: str = "10 minutes", window: str = K.INCREASE_WINDOW, slide: str = "1 minute"
 ) -> DataFrame:
-    """Failures per label in sliding windows; windows without one do not appear."""
+    """Failures per label in sliding windows; windows without one do not appear.
+
+    Two stateful steps in one stream: rows are counted by tumbling slides, and only those
+    counts are copied to the windows that hold them. ``window`` is a multiple of ``slide``.
+    """
     failed = executions.filter(~F.col("success") & F.col("finished_at").isNotNull())
-    counted = (
+    slides = (
         failed.withWatermark("finished_at", lateness)
-        .groupBy(F.window("finished_at", window, slide).alias("w"), "label")
+        .groupBy(F.window("finished_at", slide).alias("slide"), "label")
         .agg(F.count("*").alias("failures"))
     )
+    counted = (
+        slides.select(F.window_time("slide").alias("at"), "label", "failures")
+        .groupBy(F.window("at", window, slide).alias("w"), "label")
+        .agg(F.sum("failures").alias("failures"))
+    )
     return counted.select("label", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "failures")
 
 

@@ -42,6 +42,7 @@ def load() -> dict[str, Query]:
         selection,
         streams,
         trajectories,
+        upsert_streams,
     )
 
     return REGISTRY
