@@ -251,6 +251,40 @@ def exact_elements(elements: DataFrame, element_ids: list[int], object_ids: list
     return chosen
 
 
+def replay_requests(requests: DataFrame, elements: DataFrame, max_targets: int = K.MAX_TARGET_OBJECTS) -> DataFrame:
+    """``exact_elements`` for any number of requests (request_id, element_ids, object_ids).
+
+    One row per element of an accepted request, and one with ``error`` for a refused one:
+    too many distinct elements, unknown elements (listed in order), or elements of other
+    objects than the requested ones. Null ``object_ids`` accept the elements' own objects.
+    A request holds at most ``max_targets`` elements when it is taken apart and gathered.
+    """
+    wanted = F.array_distinct(F.array_compact(F.coalesce("element_ids", F.array().cast("array<bigint>"))))
+    named = requests.select("request_id", wanted.alias("wanted"), F.array_sort(F.array_distinct("object_ids")).alias("objects"))
+    crowded = F.size("wanted") > max_targets
+    too_many = F.lit(f"playback supports at most {max_targets} targeted elements")
+    refused = named.filter(crowded).select("request_id", too_many.alias("error"))
+    taken = named.filter(~crowded).select("request_id", "objects", F.explode_outer("wanted").alias("element_id"))
+    stored = elements.select("element_id", "object_id", F.lit(True).alias("known"))
+    found = taken.join(stored, "element_id", "left")
+    judged = found.groupBy("request_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("element_id")))).alias("missing"),
+        F.array_sort(F.collect_set("object_id")).alias("found"),
+        F.first("objects").alias("objects"),
+    )
+    unknown = F.concat(F.lit("unknown element ids: "), F.array_join("missing", ", "))
+    error = F.when(F.size("missing") > 0, unknown).when(
+        F.col("objects").isNotNull() & (F.col("objects") != F.col("found")), F.lit("element ids do not match the requested objects")
+    )
+    judged = judged.select("request_id", error.alias("error"))
+    accepted = taken.filter(F.col("element_id").isNotNull()).select("request_id", "element_id").join(
+        judged.filter("error IS NULL"), "request_id"
+    )
+    columns = [c for c in elements.columns if c != "element_id"]
+    chosen = accepted.join(elements, "element_id").select("request_id", "error", "element_id", *columns)
+    return chosen.unionByName(judged.filter("error IS NOT NULL").unionByName(refused), allowMissingColumns=True)
+
+
 def missing_ids(requested: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Requested ids that are not stored."""
     return requested.select(key).distinct().join(stored.select(key), key, "left_anti")

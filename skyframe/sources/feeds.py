@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 
 from skyframe import constants as K
 from skyframe.functions.text import group_name, optional_string
+from skyframe.session import broadcast_if_small
+
+#: Names of groups that may be broadcast to the records.
+MAX_GROUPS = 100_000
 
 OMM_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in (*K.OMM_FIELDS, "_corrupt_record")]
@@ -84,3 +88,17 @@ def guard_record_count(records: DataFrame, maximum: int | None = None) -> DataFr
     if maximum is not None and records.limit(maximum + 1).count() > maximum:
         raise ValueError(f"feed holds more than {maximum} records")
     return records
+
+
+def group_record_report(records: DataFrame, maximum: int, group: str = "group") -> DataFrame:
+    """Records of each group of a feed, and the ``error`` of those above the limit."""
+    counted = records.groupBy(group).agg(F.count("*").alias("records"))
+    text = F.format_string("group %s holds %s records; the limit is %s", F.col(group), F.col("records"), F.lit(maximum))
+    return counted.withColumn("error", F.when(F.col("records") > maximum, text))
+
+
+def within_group_limit(records: DataFrame, maximum: int, group: str = "group") -> DataFrame:
+    """The records of groups within the limit, whole. The groups above it are few rows of
+    a report, so the join sends them to the records and not the records to them."""
+    over = group_record_report(records, maximum, group).filter("error IS NOT NULL").select(group)
+    return records.join(broadcast_if_small(over, MAX_GROUPS), group, "left_anti")

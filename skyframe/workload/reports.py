@@ -65,6 +65,23 @@ def group_feed_read(spark, folder):
     )
 
 
+@query(
+    with_views(GP, GROUPED)
+    + """, counted AS (SELECT grp, count(*) AS records FROM grouped GROUP BY grp),
+    limits AS (SELECT (SELECT count(*) FROM grouped) // (SELECT count(*) FROM counted) AS most)
+    SELECT grp, records, CASE WHEN records > most THEN printf('group %s holds %d records; the limit is %d', grp, records, most) END AS error,
+      CASE WHEN records > most THEN 0 ELSE records END AS taken FROM counted, limits"""
+)
+def feed_limits(spark, folder):
+    """Group feeds against a limit of the mean: groups above it are reported, and left out whole."""
+    records = group_records(spark, folder)
+    most = records.agg((F.count("*") / F.count_distinct("group")).cast("bigint")).first()[0]
+    report = feeds.group_record_report(records, most)
+    taken = feeds.within_group_limit(records, most).groupBy("group").agg(F.count("*").alias("taken"))
+    rows = report.join(taken, "group", "left")
+    return rows.select(F.col("group").alias("grp"), "records", "error", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 @query(
     with_views(GP, GROUPED)
     + """SELECT ordinal, 'MEAN_MOTION' || CASE WHEN ordinal % 14 = 0 THEN ', ECCENTRICITY' ELSE '' END AS fields FROM (
@@ -98,10 +115,10 @@ def repeated_states(spark, folder):
 
 @query(
     with_views(OBJECTS)
-    + "SELECT id, norad_cat_id, object_name FROM objects WHERE norad_cat_id IN (SELECT o_custkey + 10000 FROM orders WHERE o_orderkey % 5 = 0)"
+    + "SELECT id, norad_cat_id, object_name FROM objects WHERE norad_cat_id IN (SELECT o_custkey + 10000 FROM orders)"
 )
 def objects_by_number(spark, folder):
-    wanted = V.table(spark, folder, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") + 10000).alias("norad_cat_id"))
+    wanted = V.table(spark, folder, "orders").select((F.col("o_custkey") + 10000).alias("norad_cat_id"))
     return L.objects_by_number(V.objects(spark, folder), wanted).select("id", "norad_cat_id", "object_name")
 
 
@@ -217,15 +234,44 @@ def event_uniqueness(spark, folder):
 
 @query(
     with_views(ELEMENTS)
-    + f"""SELECT element_id, object_id, source, epoch_us(epoch) AS epoch_us FROM elements
-      WHERE element_id IN (SELECT element_id FROM elements ORDER BY element_id LIMIT {K.MAX_TARGET_OBJECTS})"""
+    + """, asked AS (
+      SELECT element_id // 16 AS request_id, element_id AS wanted, object_id AS owner, element_id % 5 AS kind FROM elements
+      UNION ALL SELECT element_id // 16, -element_id, object_id, 0 FROM elements WHERE element_id % 112 = 3
+      UNION ALL SELECT 1000000000 + element_id // 128, element_id, object_id, 0 FROM elements),
+    sets AS (SELECT request_id, list_sort(list_distinct(list(wanted))) AS wanted,
+        CASE WHEN request_id % 5 <> 2 THEN list_sort(list_distinct(list(CASE WHEN request_id % 5 = 1 AND kind = 0 THEN NULL ELSE owner END))) END AS objects
+      FROM asked GROUP BY request_id),
+    owners AS (SELECT request_id, list_sort(list_distinct(list(object_id))) AS found
+      FROM (SELECT request_id, unnest(wanted) AS element_id FROM sets) JOIN elements USING (element_id) GROUP BY request_id),
+    judged AS (SELECT *, list_sort(list_filter(wanted, lambda w: w < 0)) AS missing FROM sets LEFT JOIN owners USING (request_id)),
+    outcomes AS (SELECT request_id, wanted, CASE WHEN len(wanted) > 16 THEN 'playback supports at most 16 targeted elements'
+        WHEN len(missing) > 0 THEN 'unknown element ids: ' || array_to_string(missing, ', ')
+        WHEN objects IS NOT NULL AND objects <> found THEN 'element ids do not match the requested objects' END AS error FROM judged)
+    SELECT request_id, NULL AS element_id, NULL AS object_id, NULL AS source, NULL AS epoch_us, error FROM outcomes WHERE error IS NOT NULL
+    UNION ALL SELECT request_id, element_id, object_id, source, epoch_us(epoch), NULL
+      FROM (SELECT request_id, unnest(wanted) AS element_id FROM outcomes WHERE error IS NULL) JOIN elements USING (element_id)"""
 )
 def exact_replay_elements(spark, folder):
-    """As many exact elements as a replay may name, checked against their objects."""
+    """Every element is named by a replay request of up to 16 neighbours. Some requests also
+    name unknown elements, leave out objects, or name no objects; and wider ones are too many."""
     elements = V.elements(spark, folder)
-    named = elements.select("element_id", "object_id").orderBy("element_id").limit(K.MAX_TARGET_OBJECTS).collect()
-    chosen = T.exact_elements(elements, [r["element_id"] for r in named], [r["object_id"] for r in named])
-    return chosen.select("element_id", "object_id", "source", F.unix_micros("epoch").alias("epoch_us"))
+    number, owner = F.col("element_id"), F.col("object_id")
+
+    def named(rows, request, wanted, kind):
+        return rows.select(request.alias("request_id"), wanted.alias("wanted"), owner.alias("owner"), kind.alias("kind"))
+
+    narrow = F.floor(number / 16)
+    asked = (
+        named(elements, narrow, number, number % 5)
+        .unionByName(named(elements.filter(number % 112 == 3), narrow, -number, F.lit(0)))
+        .unionByName(named(elements, 1_000_000_000 + F.floor(number / 128), number, F.lit(0)))
+    )
+    partial = F.when((F.col("request_id") % 5 == 1) & (F.col("kind") == 0), F.lit(None)).otherwise(F.col("owner"))
+    requests = asked.groupBy("request_id").agg(
+        F.collect_set("wanted").alias("element_ids"), F.collect_set(partial).alias("object_ids")
+    ).withColumn("object_ids", F.when(F.col("request_id") % 5 != 2, F.col("object_ids")))
+    chosen = T.replay_requests(requests, elements)
+    return chosen.select("request_id", "element_id", "object_id", "source", F.unix_micros("epoch").alias("epoch_us"), "error")
 
 
 @query(

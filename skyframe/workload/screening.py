@@ -7,13 +7,14 @@ from math import pi
 from pyspark.sql import functions as F
 
 from skyframe import constants as K
+from skyframe.functions.motion import acceleration_bound_km_s2
 from skyframe.functions.orbit import STATE, KeplerJ2, StraightLine
 from skyframe.operators import episodes as E
 from skyframe.operators import propagation as P
 from skyframe.operators import screening as S
 from skyframe.operators import selection as Sel
 from skyframe.operators.spatial import fixed_radius_pairs
-from skyframe.plans.screening_run import ScreeningOptions, run_screening
+from skyframe.plans.screening_run import ScreeningOptions, budget_report, chunk_report, run_screening
 from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.selection import CANONICAL, JUDGED, STATUS
@@ -441,12 +442,42 @@ def screening_events(spark, folder):
       (SELECT count(*) FROM members) AS shared_solution_objects,
       (SELECT count(*) FROM episodes) AS event_count,
       (SELECT coalesce(sum(merged) - count(*), 0)::BIGINT FROM episodes) AS duplicate_events_suppressed,
-      (SELECT count(*) FILTER (gap > 0) FROM hits) AS episode_checks,
-      (SELECT coalesce(4 * sum(ceil(gap / {STEP * 1000000}.0::DOUBLE)) FILTER (gap > 0), 0)::BIGINT FROM hits) AS episode_propagations
+      (SELECT count(*) FILTER (gap > 0) FROM hits) AS episode_checks
     FROM chunks"""
 )
 def screening_run(spark, folder):
-    return _screening(spark, folder).counters
+    """The run's counters; ``continuity_counts`` tests the propagations of episodes."""
+    return _screening(spark, folder).counters.drop("episode_propagations")
+
+
+CHUNK_LIMIT = 40
+
+
+@query(
+    RUN_VIEWS
+    + f"""SELECT chunk::INTEGER AS chunk, first_sample::INTEGER AS first_sample, last_sample::INTEGER AS last_sample,
+      {NOW_US} + first_sample * {STEP}000000 AS start_us, {NOW_US} + last_sample * {STEP}000000 AS end_us, unique_candidates,
+      CASE WHEN unique_candidates > {CHUNK_LIMIT} THEN printf('chunk %d (samples %d to %d) has %d unique candidates; the limit is {CHUNK_LIMIT}',
+        chunk + 1, first_sample, last_sample, unique_candidates) END AS error
+    FROM (SELECT chunk, chunk * 15 AS first_sample, least(chunk * 15 + 15, {HORIZON // STEP}) AS last_sample,
+      count(*) FILTER (NOT shared) AS unique_candidates FROM best GROUP BY chunk)"""
+)
+def chunk_limits(spark, folder):
+    """Unique candidates by chunk against a limit, with the chunk's samples and bounds."""
+    return chunk_report(_screening(spark, folder).candidates, OPTIONS, CHUNK_LIMIT)
+
+
+@query(
+    with_views(OBJECTS, ELEMENTS, CANONICAL, JUDGED, CHOSEN)
+    + f"""SELECT objects, objects * {HORIZON // STEP + 1} AS propagations, CASE WHEN objects > 40000
+        THEN printf('object count %d exceeds the limit of 40000', objects)
+      WHEN objects * {HORIZON // STEP + 1} > 1000 THEN printf('propagation workload %d exceeds the limit of 1000', objects * {HORIZON // STEP + 1}) END AS error
+    FROM (SELECT count(*) AS objects FROM chosen)"""
+)
+def run_budget(spark, folder):
+    """The work of a run against budgets, before anything is propagated."""
+    judged = Sel.judge_canonical(V.elements(spark, folder), V.objects(spark, folder), V.now(), OPTIONS.limits)
+    return budget_report(Sel.eligible_elements(judged), HORIZON // STEP + 1, 40_000, 1000)
 
 
 DETECTIONS = f"""detections AS (
@@ -512,6 +543,11 @@ STRAIGHT_GAPS = f"""gaps AS (
 )
 def continuity(spark, folder):
     """Straight paths: the distance is convex, so the ends alone tell the truth."""
+    check, gaps = _straight_check(spark, folder)
+    return check(gaps).select("primary_object_id", "secondary_object_id", "linked")
+
+
+def _straight_check(spark, folder, work=None):
     orders, k = V.table(spark, folder, "orders"), F.col("o_orderkey")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     model = StraightLine()
@@ -542,5 +578,33 @@ def continuity(spark, folder):
             rows = rows.join(named, key)
         return rows
 
-    check = E.certified_continuity(elements_of, model, threshold_km=25.0, step_seconds=60)
-    return check(gaps).select("primary_object_id", "secondary_object_id", "linked")
+    return E.certified_continuity(elements_of, model, threshold_km=25.0, work=work), gaps
+
+
+BOUND = f"{acceleration_bound_km_s2()!r}::DOUBLE"
+
+
+@query(
+    "WITH RECURSIVE " + with_views(STRAIGHT_GAPS).removeprefix("WITH ")
+    + f""", paths AS (
+      SELECT primary_object_id AS k, to_us - from_us AS w, b.x0 - a.x0 AS x, b.y0 - a.y0 AS y, b.z0 - a.z0 AS z,
+        (b.vx - a.vx) / 1e6 AS vx, (b.vy - a.vy) / 1e6 AS vy, (b.vz - a.vz) / 1e6 AS vz
+      FROM gaps g JOIN lines a ON a.object_id = primary_object_id JOIN lines b ON b.object_id = secondary_object_id),
+    frontier(k, l, r) AS (
+      SELECT k, 0::BIGINT, w FROM paths
+      UNION ALL
+      SELECT k, CASE side WHEN 0 THEN l ELSE m END, CASE side WHEN 0 THEN m ELSE r END FROM (
+        SELECT f.*, l + (r - l) // 2 AS m, (x + vx * l) ** 2 + (y + vy * l) ** 2 + (z + vz * l) ** 2 AS dl,
+          (x + vx * r) ** 2 + (y + vy * r) ** 2 + (z + vz * r) ** 2 AS dr
+        FROM frontier f JOIN paths USING (k)), (SELECT unnest([0, 1]) AS side)
+      WHERE sqrt(greatest(dl, dr)) <= 25 AND r - l > 10000
+        AND sqrt(greatest(dl, dr)) + {BOUND} * ((r - l) / 1e6) ** 2 / 8e0 + 1e-9 > 25)
+    SELECT (SELECT count(*) FROM paths) AS episode_checks,
+      4 * (SELECT count(*) FROM paths) + (count(*) - (SELECT count(*) FROM paths)) AS episode_propagations FROM frontier"""
+)
+def continuity_counts(spark, folder):
+    """Gaps judged and propagations spent: both ends, and one time per halving."""
+    work = []
+    check, gaps = _straight_check(spark, folder, work)
+    check(gaps)
+    return E.continuity_work(spark, work)

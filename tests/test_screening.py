@@ -203,7 +203,7 @@ class Bowed(StraightLine):
         ).withColumn(f"{out}vy", F.lit(0.0))
 
 
-def continuity(spark, distance, threshold, bow=0.0, bound=0.03):
+def continuity(spark, distance, threshold, bow=0.0, bound=0.03, work=None):
     model = Bowed()
     rows = scene_elements(spark, [(1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (2, distance, 0.0, 0.0, 0.0, bow, 0.0)])
     prepared = model.prepare(rows)
@@ -216,9 +216,7 @@ def continuity(spark, distance, threshold, bow=0.0, bound=0.03):
             )
         return df
 
-    check = E.certified_continuity(
-        elements_of, model, threshold_km=threshold, step_seconds=60, bound_km_s2=bound
-    )
+    check = E.certified_continuity(elements_of, model, threshold_km=threshold, bound_km_s2=bound, work=work)
     return check(gaps(spark, 60)).first().linked
 
 
@@ -230,6 +228,28 @@ def test_continuity_proves_a_bounded_path(spark):
     assert continuity(spark, 1.0, 20.0, bow=0.01) is True
 
 
+def test_continuity_halves_only_open_intervals(spark):
+    """An exit at the first middle ends the work of a gap; a proof needs as many halvings as
+    the bound asks for: 60 s in four parts of 15 s, as 0.03 * 15 ** 2 / 8 is below 1."""
+    work = []
+    assert continuity(spark, 1.0, 2.0, bow=0.01, work=work) is False
+    assert work == [{"checks": 1, "propagations": 4 + 2}]
+    work = []
+    assert continuity(spark, 1.0, 2.0, work=work) is True
+    assert work == [{"checks": 1, "propagations": 4 + 2 * 3}]
+    work = []
+    assert continuity(spark, 30.0, 2.0, work=work) is False
+    assert work == [{"checks": 1, "propagations": 4}]
+
+
+def test_an_exit_ends_all_intervals_of_its_gap(spark, monkeypatch):
+    """The pair leaves for a moment near 3/4 of the gap; a round later nothing is open."""
+    monkeypatch.setattr(E, "HALVINGS_A_ROUND", 1)
+    work = []
+    assert continuity(spark, 9.98, 10.0, bow=0.00003, work=work) is False
+    assert work[0]["propagations"] < 200
+
+
 def test_unresolved_continuity_fails(spark):
     with pytest.raises(Exception, match="continuity"):
         continuity(spark, 10.0, 10.0)
