@@ -5,6 +5,8 @@ joined bytes of both are the same, the ends that tokens of both share are known
 byte. A shared end before a token marked by a space, in both, is an anchor. Anchors split a
 document into windows of a word or a few, and a window is a tuple of A ids and a tuple of B
 ids. The alignment of such a pair of tuples is worked out once and looked up afterwards.
+Encoding is shared too: a text is cut at single spaces that no token of either can reach
+over, which gives the ids of the whole text, and a part that occurs again is looked up.
 
 Links are weighed by how many documents of the corpus hold the pair of ids linked.
 ``weigh_links`` counts the pairs inside tasks, adds the counts up by a shuffle, and sends the
@@ -19,9 +21,12 @@ named columns are read, so other columns cannot matter.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,11 @@ from skyframe.session import materialize
 #: Text given to the library at once (a longer text goes alone).
 BATCH_BYTES = 1 << 20
 #: Tokens of the windows remembered in a task; beyond, it starts anew.
-MEMO_TOKENS = 1_500_000
+MEMO_TOKENS = 2_500_000
+#: Parts of texts encoded at once.
+PARTS_AT_ONCE = 4096
+#: The space mark of B would be read as a space; the other is white space to some patterns only.
+ODD_ENDS = "\u2581\u180e"
 #: Pairs sent to all tasks: those that hold this share of all (document, pair).
 HOT_PAIRS = 1 << 19
 #: Pairs of documents counted at once in a task.
@@ -70,101 +79,168 @@ class TwoTokenizers:
         self.len_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.len_b = np.array([len(x) for x in self.bytes_b], np.int64)
 
+        # Where neither tokenizer can join what lies on both sides of a single space, a text may
+        # be encoded in parts. B cannot if no piece holds a space mark after another character,
+        # A cannot if it is byte-level with its own pattern, which starts a word at such a space.
+        inner = any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.b.get_piece_size())))
+        kind = json.loads(self.a.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.in_parts = not inner and kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """(A ids, B ids) of each text."""
         spaced = [" " + t for t in texts]
         for encoding, b in zip(self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
             yield encoding.ids, b
 
+    def same_bytes(self, text: str, a: list[int], b: list[int]) -> bool:
+        """Whether the tokens of both are a space and the text, byte by byte."""
+        whole = b" " + text.encode()
+        return b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
+
+
+def parts_of(text: str) -> list[str]:
+    """A text cut at single spaces between characters that are no white space; the space
+    itself belongs to the part after it, which each tokenizer puts back."""
+    parts = text.split(" ")
+    if all([p and not p[0].isspace() and not p[-1].isspace() for p in parts]) and not any(c in text for c in ODD_ENDS):
+        return parts
+    out, held = [], [parts[0]]
+    for part in parts[1:]:
+        last = held[-1]
+        if last and part and not (last[-1].isspace() or part[0].isspace() or last[-1] in ODD_ENDS or part[0] in ODD_ENDS):
+            out.append(" ".join(held))
+            held = []
+        held.append(part)
+    return [*out, " ".join(held)]
+
 
 @lru_cache(maxsize=1)
 def two_tokenizers(path_a: str, path_b: str) -> TwoTokenizers:
     return TwoTokenizers(path_a, path_b)
 
 
-def align_window(a: list[int], b: list[int], len_a: list[int], len_b: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """Groups as text, and the links, of tokens that cover the same bytes."""
-    groups, links = [], [(a[0], b[0])]
-    i = j = first_a = first_b = 0
-    end_a, end_b = len_a[0], len_b[0]
+def align_window(a: tuple[int, ...], b: tuple[int, ...], len_a: list[int], len_b: list[int], names_b: int) -> tuple[str, list[int]]:
+    """Groups as text, and the linked pairs as numbers, of tokens that cover the same bytes.
+    ``len_a`` and ``len_b`` are the lengths of all tokens."""
+    i = j = 0
+    x, y = a[0], b[0]
+    end_a, end_b = len_a[x], len_b[y]
+    left, right = str(x), str(y)
+    groups, pairs = [], [x * names_b + y]
     while True:
         if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
+            groups.append(f"{left}|{right}")
             i, j = i + 1, j + 1
-            if i == len(a) or j == len(b):
-                return ";".join(groups), links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + len_a[i], end_b + len_b[j]
+            if i == len(a):
+                return ";".join(groups), pairs
+            x, y = a[i], b[j]
+            end_a, end_b = end_a + len_a[x], end_b + len_b[y]
+            left, right = str(x), str(y)
         elif end_a < end_b:
             i += 1
-            end_a += len_a[i]
+            x = a[i]
+            end_a += len_a[x]
+            left += f",{x}"
         else:
             j += 1
-            end_b += len_b[j]
-        links.append((a[i], b[j]))
+            y = b[j]
+            end_b += len_b[y]
+            right += f",{y}"
+        pairs.append(x * names_b + y)
 
 
 class Aligner:
-    """Aligns documents and remembers windows."""
+    """Encodes and aligns texts. Windows are remembered by their id tuples, and parts of texts
+    by the windows they hold."""
 
     def __init__(self, two: TwoTokenizers) -> None:
         self.two = two
         self.names_b = max(len(two.bytes_b), 1)
         self.kind = pair_kind(len(two.bytes_a), self.names_b)
+        self.sizes_a, self.sizes_b = two.len_a.tolist(), two.len_b.tolist()
         self.forget()
 
     def forget(self) -> None:
-        self.windows: dict[tuple[bytes, bytes], int] = {}
+        self.windows: dict[tuple[tuple[int, ...], tuple[int, ...]], tuple[str, list[int]]] = {}
+        self.parts: dict[str, int] = {}
+        #: Of each part: (n_a, n_b, n_groups), groups as text, and its links, or None.
+        self.counts: list[tuple[int, int, int] | None] = []
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
+        self.pairs: list[list[int]] = []
         self.tokens = 0
 
-    def _window(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(k, np.int32) for k in key)
-        groups, links = align_window(a.tolist(), b.tolist(), self.two.len_a[a].tolist(), self.two.len_b[b].tolist())
-        found = np.array(links, np.int64)
-        pairs, times = np.unique(found[:, 0] * self.names_b + found[:, 1], return_counts=True)
-        number = self.windows[key] = len(self.groups)
-        self.groups.append(groups)
-        self.pairs.append(pairs)
-        self.times.append(times)
-        self.tokens += len(a) + len(b)
-        return number
-
-    def document(self, text: bytes, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, int, str, bytes, bytes]:
-        """n_a, n_b, n_groups, n_links, groups, distinct pairs and how often each is linked."""
-        none = (0, 0, 0, 0, "", b"", b"")
-        whole = b" " + text
-        if not text or any(
-            b"".join([names[i] for i in ids]) != whole for names, ids in ((self.two.bytes_a, ids_a), (self.two.bytes_b, ids_b))
-        ):
-            return none
-        if self.tokens > MEMO_TOKENS:
-            self.forget()
-        a, b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
-        ends_a, ends_b = np.cumsum(self.two.len_a[a]), np.cumsum(self.two.len_b[b])
+    def _window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int]]:
+        found = self.windows.get((a, b))
+        if found is None:
+            found = self.windows[a, b] = align_window(a, b, self.sizes_a, self.sizes_b, self.names_b)
+            self.tokens += len(a) + len(b)
+        return found
+
+    def _aligned(self, part: str, a: list[int], b: list[int]) -> tuple[tuple[int, int, int] | None, str, list[int]]:
+        """Counts, groups and links of a part: its tokens cut into windows at the verified
+        ends before a space."""
+        if not self.two.same_bytes(part, a, b):
+            return None, "", []
+        if b" " not in part.encode():
+            groups, pairs = self._window(tuple(a), tuple(b))
+            return (len(a), len(b), groups.count(";") + 1), groups, pairs
+        whole = b" " + part.encode()
+        ids_a, ids_b = np.array(a), np.array(b)
+        ends_a, ends_b = np.cumsum(self.two.len_a[ids_a]), np.cumsum(self.two.len_b[ids_b])
         ends = np.zeros((2, len(whole) + 1), bool)
         ends[0, ends_a] = ends[1, ends_b] = True
-        shared = ends[0] & ends[1]
-        anchor = shared.copy()
+        anchor = ends[0] & ends[1]
         anchor[:-1] &= np.frombuffer(whole, np.uint8) == 0x20
         cuts_a = [0, *(np.flatnonzero(anchor[ends_a]) + 1).tolist()]
         cuts_b = [0, *(np.flatnonzero(anchor[ends_b]) + 1).tolist()]
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        known, numbers = self.windows, []
-        for low_a, high_a, low_b, high_b in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]):
-            key = (raw_a[4 * low_a : 4 * high_a], raw_b[4 * low_b : 4 * high_b])
-            number = known.get(key)
-            numbers.append(self._window(key) if number is None else number)
-        used, often = np.unique(np.array(numbers), return_counts=True)
-        held = [self.pairs[w] for w in used.tolist()]
-        each = np.concatenate([self.times[w] for w in used.tolist()]) * np.repeat(often, [len(h) for h in held])
-        pairs, place = np.unique(np.concatenate(held), return_inverse=True)
-        times = np.bincount(place, weights=each).astype("<u4")
+        cut = zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])
+        found = [self._window(tuple(a[i:j]), tuple(b[k:m])) for i, j, k, m in cut]
+        groups = ";".join([g for g, _ in found])
+        return (len(a), len(b), groups.count(";") + 1), groups, [x for _, pairs in found for x in pairs]
+
+    def documents(self, texts: list[str]) -> list[tuple[int, int, int, int, str, bytes, bytes]]:
+        """Of each text n_a, n_b, n_groups, n_links, groups, distinct pairs and how often each
+        is linked."""
+        if self.tokens > MEMO_TOKENS:
+            self.forget()
+        split = [(parts_of(t) if self.two.in_parts else [t]) if t else [] for t in texts]
+        known = self.parts
+        new = list({p for parts in split for p in parts if p not in known})
+        for low in range(0, len(new), PARTS_AT_ONCE):
+            some = new[low : low + PARTS_AT_ONCE]
+            for part, (a, b) in zip(some, self.two.encode(some)):
+                counts, groups, pairs = self._aligned(part, a, b)
+                known[part] = len(self.counts)
+                self.counts.append(counts)
+                self.groups.append(groups)
+                self.pairs.append(pairs)
+        return [self._document(text, [known[p] for p in parts]) for text, parts in zip(texts, split)]
+
+    def _document(self, text: str, parts: list[int]) -> tuple[int, int, int, int, str, bytes, bytes]:
+        none = (0, 0, 0, 0, "", b"", b"")
+        if not parts:
+            return none
+        used, often = np.unique(np.array(parts), return_counts=True)
+        numbers = used.tolist()
+        counts = [self.counts[w] for w in numbers]
+        if None in counts:
+            # Bytes of a part differ. Only if those of the whole text do not are there tokens.
+            [(a, b)] = self.two.encode([text])
+            of_text, groups, linked = self._aligned(text, a, b)
+            if of_text is None:
+                return none
+            n_a, n_b, n_groups = of_text
+            weights = np.ones(len(linked))
+        else:
+            n_a, n_b, n_groups = (often @ np.array(counts)).tolist()
+            held = [self.pairs[w] for w in numbers]
+            linked, weights = list(chain.from_iterable(held)), np.repeat(often, [len(h) for h in held])
+            groups = ";".join([self.groups[w] for w in parts])
+        pairs, place = np.unique(np.array(linked, np.int64), return_inverse=True)
+        times = np.bincount(place, weights=weights).astype("<u4")
         n_links = int(times.sum(dtype=np.int64))
-        groups = ";".join([self.groups[w] for w in numbers])
-        return len(a), len(b), int(shared.sum()), n_links, groups, pairs.astype(self.kind).tobytes(), times.tobytes()
+        return n_a, n_b, n_groups, n_links, groups, pairs.astype(self.kind).tobytes(), times.tobytes()
 
 
 def pair_kind(names_a: int, names_b: int) -> str:
@@ -181,8 +257,15 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = two_tokenizers(path_a, path_b)
-        aligner = Aligner(two)
+        aligner = Aligner(two_tokenizers(path_a, path_b))
+        # What is remembered is millions of small objects, none of them in a cycle.
+        gc.disable()
+        try:
+            yield from aligned(batches, aligner)
+        finally:
+            gc.enable()
+
+    def aligned(batches: Iterator[pa.RecordBatch], aligner: Aligner) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), utf8(batch.column("text"))
             low = 0
@@ -192,8 +275,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_column: str =
                     size += len(texts[high])
                     high += 1
                 some = texts[low:high]
-                encoded = two.encode([t.decode() for t in some])
-                rows = [(i, *aligner.document(t, a, b)) for i, t, (a, b) in zip(ids[low:high], some, encoded)]
+                found = aligner.documents([t.decode() for t in some])
+                rows = [(i, *f) for i, f in zip(ids[low:high], found)]
                 kinds = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.binary()]
                 names = [x.split()[0] for x in ALIGNED.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against byte ranges of every pair of tokens."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -100,11 +101,12 @@ def test_given_documents_and_forgetting(spark, paths, tmp_path, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()[:40]
     two = token_alignment.two_tokenizers(*paths)
     runs = []
-    for tokens_held in (10, 10**9):
+    for tokens_held, in_parts in ((10, True), (10**9, True), (10**9, False)):
         monkeypatch.setattr(token_alignment, "MEMO_TOKENS", tokens_held)
+        monkeypatch.setattr(two, "in_parts", in_parts)
         aligner = token_alignment.Aligner(two)
-        encoded = two.encode([r["text"] or "" for r in rows])
-        runs.append([aligner.document((r["text"] or "").encode(), a, b) for r, (a, b) in zip(rows, encoded)])
+        runs.append([aligner.documents([r["text"] or ""])[0] for r in rows])
+    assert runs[2] == runs[1]
     assert runs[0] == runs[1]
     short = [r["text"] for r in rows if len(r["text"] or "") < 3000]
     want = {t: w for t, w in zip(short, brute(two, short))}
@@ -113,6 +115,25 @@ def test_given_documents_and_forgetting(spark, paths, tmp_path, monkeypatch):
             assert got[:5] == want[r["text"]][:5]
 
 
+def test_parts_give_the_ids_of_whole_texts(spark, paths):
+    """Against the libraries on whole texts: the given documents, and random strings of
+    characters that tokenizers treat in their own ways."""
+    two = token_alignment.two_tokenizers(*paths)
+    assert two.in_parts
+    dice = random.Random(11)
+    odd = list("ab1'.,-_ \u00a0\t\n\u0085\u2003\u180e\u200b\u2581\u0301ÉßЖ日🙂<>s") + [" ", " ", " ", "'s", "don't", "0x41", "  "]
+    texts = ["".join(dice.choices(odd, k=dice.randrange(1, 30))) for _ in range(3000)]
+    texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r["text"]]
+    aligner = token_alignment.Aligner(two)
+    for text, (n_a, n_b, _, _, groups, _, _) in zip(texts, aligner.documents(texts)):
+        [(a, b)] = two.encode([text])
+        if two.same_bytes(text, a, b):
+            ids = [[int(x) for g in groups.split(";") for x in g.split("|")[side].split(",")] for side in (0, 1)]
+            assert ids == [a, b] and (n_a, n_b) == (len(a), len(b))
+        else:
+            assert n_a == 0 and groups == ""
+
+
 def test_query_and_empty_table(spark, tmp_path, odd_rows, documents):
     documents(odd_rows).write.parquet(f"{tmp_path}/documents.parquet")
     found = op12_token_alignment(spark, str(tmp_path)).collect()
