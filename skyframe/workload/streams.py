@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skyframe.session import checkpoint_dir
 from skyframe.streaming import jobs as J
+from skyframe.streaming.timers import held_changes
 from skyframe.workload import views as V
 from skyframe.workload.operations import LEVEL, LOGS, log_lines
 from skyframe.workload.registry import query
@@ -137,7 +138,7 @@ spans AS (SELECT *, (SELECT min(ts) FROM samples s WHERE s.instance = r.instance
   FROM runs r)"""
 
 
-@query(
+HELD_CHANGES = (
     with_views(HELD)
     + """SELECT instance, ts_us, state FROM (
       SELECT instance, epoch_us(since) AS ts_us, 'pending' AS state FROM spans
@@ -145,24 +146,46 @@ spans AS (SELECT *, (SELECT min(ts) FROM samples s WHERE s.instance = r.instance
         WHERE ends IS NULL OR epoch_us(ends) > epoch_us(since) + 600000000
       UNION ALL SELECT instance, epoch_us(ends), 'inactive' FROM spans WHERE ends IS NOT NULL)"""
 )
-def stream_alerts(spark, folder):
-    """State changes of held alerts, over several batches in order of time."""
+
+
+def alert_arrivals(spark, folder):
+    """Samples of alerts in three parts in order of time, and a quiet instance's later sample,
+    which moves the clock so that the last alerts fire."""
     samples = V.table(spark, folder, "events").select(
         F.concat(F.lit("i-"), (F.col("user_id") % 4).cast("string")).alias("instance"),
         F.timestamp_micros(V.micros("ts")).alias("ts"),
         (F.col("event_id") % 100 > 30).alias("active"),
     )
-    work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/alerts_{uuid4().hex[:8]}"
     day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
     first, last = samples.agg(F.min(day), F.max(day)).first()
     thirds = [first + (last - first + 1) * i // 3 for i in range(4)] if first is not None else []
     arrivals = [samples.filter(day.between(a, b - 1)) for a, b in zip(thirds[:-1], thirds[1:])]
-    # A quiet instance's later sample moves the clock, so that the last alerts fire.
     later = samples.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).filter("ts IS NOT NULL")
     arrivals.append(later.select(F.lit("quiet").alias("instance"), "ts", F.lit(False).alias("active")))
+    return samples.schema, arrivals
+
+
+@query(HELD_CHANGES)
+def stream_alerts(spark, folder):
+    """State changes of held alerts, over several batches in order of time."""
+    work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/alerts_{uuid4().hex[:8]}"
+    schema, arrivals = alert_arrivals(spark, folder)
     for arrival in arrivals:  # what has come is taken up each time
         arrival.write.mode("append").parquet(f"{work}/input")
-        stream = spark.readStream.schema(samples.schema).parquet(f"{work}/input")
+        stream = spark.readStream.schema(schema).parquet(f"{work}/input")
         J.hold_alerts(stream, 600, f"{work}/table", f"{work}/state")
     changes = spark.read.option("recursiveFileLookup", True).parquet(f"{work}/table")
     return changes.select("instance", F.unix_micros("ts").alias("ts_us"), "state")
+
+
+@query(HELD_CHANGES)
+def stream_alert_timers(spark, folder):
+    """The same by state in the state store and timers on event time."""
+    work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/timers_{uuid4().hex[:8]}"
+    schema, arrivals = alert_arrivals(spark, folder)
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(f"{work}/input")
+        stream = spark.readStream.schema(schema).parquet(f"{work}/input")
+        J.run_to_table(held_changes(stream, 600), f"{work}/table", f"{work}/state")
+    changes = spark.read.parquet(f"{work}/table")
+    return changes.select("instance", F.unix_micros("ts").alias("ts_us"), "state")
