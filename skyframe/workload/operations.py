@@ -9,6 +9,8 @@ from skyframe.functions.quality import retry_delay_seconds
 from skyframe.operators import alerts as A
 from skyframe.operators import logs as G
 from skyframe.operators import operations as O
+from skyframe.session import new_folder
+from skyframe.sources.log_table import LogTable
 from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.views import CONJUNCTIONS, EVENTS_NOW_SQL, EVENTS_NOW_US, EXECUTIONS, RUNS, with_views
@@ -486,6 +488,25 @@ def log_levels(spark, folder):
     return counts.select("service_name", F.unix_micros("window_start").alias("window_us"), "lines", "alarming")
 
 
+@query(
+    with_views(LOGS)
+    + """SELECT service_name, ts::DATE AS day, count(*) AS lines, min(epoch_us(ts)) AS first_us FROM labelled
+      WHERE ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 150 HOUR GROUP BY ALL"""
+)
+def log_retention(spark, folder):
+    """Lines stored by day in two batches; retention runs before the second batch and, later
+    on, after it, in the middle of a day. What stays is read back."""
+    lines = log_lines(spark, folder)
+    stored = LogTable(spark, new_folder(spark, "logs"))
+    alarming = F.col("line").rlike(K.LOG_LEVEL_PATTERN)
+    stored.append(lines.filter(alarming), "alarming")
+    stored.expire(EVENTS_NOW_US, 160)
+    stored.append(lines.filter(~alarming), "quiet")
+    stored.expire(EVENTS_NOW_US, 150)
+    rows = stored.read().groupBy("service_name", F.to_date("ts").alias("day"))
+    return rows.agg(F.count("*").alias("lines"), F.min(F.unix_micros("ts")).alias("first_us"))
+
+
 @query(
     with_views(LOGS)
     + f"""SELECT service_name, epoch_us(ts) AS ts_us, line FROM labelled

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyframe.operators import coverage as C
 from skyframe.operators import lookup as L
 from skyframe.operators import selection as S
+from skyframe.session import materialize
 from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.views import CONJUNCTIONS, ELEMENTS, NOW_SQL, OBJECTS, RUNS, with_views
@@ -328,3 +329,20 @@ def catalog_search(spark, folder):
     )
     objects = V.objects(spark, folder).withColumn("ordinal", F.col("id"))
     return L.search_many(objects, queries)
+
+
+@query(
+    with_views(ELEMENTS)
+    + """SELECT source, date_diff('day', DATE '2026-01-01', epoch::DATE) // 3 AS span, count(DISTINCT object_id) AS objects,
+      true AS within_two_percent FROM elements GROUP BY ALL"""
+)
+def objects_by_span(spark, folder):
+    """Distinct objects of each source and span of three days: stored sketches of single days,
+    merged, against the exact count."""
+    day = F.datediff(F.to_date("epoch"), F.lit("2026-01-01").cast("date"))
+    rows = V.elements(spark, folder).select("source", "object_id", day.alias("day"), F.floor(day / 3).alias("span"))
+    stored = materialize(C.distinct_sketches(rows, ["source", "span", "day"], "object_id"), "sketches")
+    estimated = C.merged_distinct(stored, ["source", "span"])
+    exact = rows.groupBy("source", "span").agg(F.count_distinct("object_id").alias("objects"))
+    near = F.abs(F.col("estimate") - F.col("objects")) <= 0.02 * F.col("objects")
+    return exact.join(estimated, ["source", "span"]).select("source", "span", "objects", near.alias("within_two_percent"))
