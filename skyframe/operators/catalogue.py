@@ -150,6 +150,18 @@ def gp_elements(records: DataFrame, source: str = "celestrak") -> DataFrame:
     )
 
 
+def with_raw_variant(records: DataFrame, name: str = "raw") -> DataFrame:
+    """Records with the whole record as one variant: fields that nobody parses at ingest
+    keep their names and can be read later (``raw_field``), without text to parse again."""
+    fields = [c for c in records.columns if c != "ordinal"]
+    return records.withColumn(name, F.parse_json(F.to_json(F.struct(*fields))))
+
+
+def raw_field(path: str, kind: str = "string", name: str = "raw") -> Column:
+    """A field of stored raw records; null where a record lacks it or it does not fit."""
+    return F.try_variant_get(name, f"$.{path}", kind)
+
+
 def last_per_key(batch: DataFrame, key: str = "norad_cat_id") -> DataFrame:
     """The last record per key in batch order."""
     columns = [c for c in batch.columns if c not in (key, "ordinal")]

@@ -10,7 +10,7 @@ from skyframe.operators import catalogue as C
 from skyframe.plans.classification import classification_report, classify
 from skyframe.sources.tables import read_run_rows, write_run
 from skyframe.sources import feeds
-from skyframe.session import checkpoint_dir
+from skyframe.session import checkpoint_dir, materialize
 from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.views import CONJUNCTIONS, ELEMENTS, OBJECTS, RUNS, with_views
@@ -164,6 +164,27 @@ def gp_mapping(spark, folder):
     return C.gp_objects(gp_records(spark, folder))
 
 
+@query(
+    with_views(GP)
+    + """SELECT ordinal, epoch, 'U' AS classification, norad_cat_id AS number,
+      CASE WHEN ordinal % 2 = 1 THEN 0.00025::DOUBLE END AS bstar, CASE WHEN ordinal % 6 = 0 THEN '' ELSE 'GP-' || ordinal::VARCHAR END AS name
+    FROM (SELECT ordinal, epoch_us(epoch) AS epoch, norad_cat_id FROM gp)"""
+)
+def raw_fields(spark, folder):
+    """Element sets stored with their raw record as a variant; fields of it read afterwards,
+    some of which no column was made of at ingest."""
+    raw = C.with_raw_variant(gp_records(spark, folder)).select("ordinal", "raw")
+    stored = materialize(raw, "raw_records")
+    return stored.select(
+        "ordinal",
+        F.unix_micros(C.raw_field("EPOCH", "timestamp")).alias("epoch"),
+        C.raw_field("CLASSIFICATION_TYPE").alias("classification"),
+        C.raw_field("NORAD_CAT_ID", "bigint").alias("number"),
+        C.raw_field("BSTAR", "double").alias("bstar"),
+        C.raw_field("OBJECT_NAME").alias("name"),
+    )
+
+
 ELEMENT_NUMBERS = (
     "inclination", "ra_of_asc_node", "eccentricity", "arg_of_pericenter", "mean_anomaly", "mean_motion", "bstar",
     "element_set_no", "rev_at_epoch",
