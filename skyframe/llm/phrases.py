@@ -37,7 +37,8 @@ MIN_COUNT = 30
 MAX_WORDS = 4
 TOP = 2000
 NO_LANGUAGE = "und"
-CHUNK_BYTES = 16 << 20
+#: Text of a chunk; counting it takes some thirty times as much memory.
+CHUNK_BYTES = 4 << 20
 #: Ranks on a tile's side, and tiles on a side that may be dense.
 TILE = 1024
 DENSE_SIDE = 64
@@ -181,12 +182,12 @@ def count_phrases(chunks: DataFrame, blooms: list[Bloom]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                words = row["words"].split(b" ")
-                names, counts = phrases_of(row["lang"], words, np.frombuffer(row["ids"], "<i4"), sent.value)
+            for chunk in range(batch.num_rows):
+                lang, words, ids = (batch.column(c)[chunk].as_py() for c in ("lang", "words", "ids"))
+                names, counts = phrases_of(lang, words.split(b" "), np.frombuffer(ids, "<i4"), sent.value)
                 for low in range(0, len(names), OUT_ROWS):
                     some = pa.array(names[low : low + OUT_ROWS], pa.binary()).cast(pa.string())
-                    langs = pa.array([row["lang"]] * len(some), pa.string())
+                    langs = pa.array([lang] * len(some), pa.string())
                     n = pa.array(counts[low : low + OUT_ROWS].astype(np.int64))
                     yield pa.RecordBatch.from_arrays([langs, some, n], names=["lang", "phrase", "n"])
 
