@@ -124,6 +124,12 @@ def test_parts_give_the_ids_of_whole_texts(spark, paths):
     odd = list("ab1'.,-_ \u00a0\t\n\u0085\u2003\u180e\u200b\u2581\u0301ÉßЖ日🙂<>s") + [" ", " ", " ", "'s", "don't", "0x41", "  "]
     texts = ["".join(dice.choices(odd, k=dice.randrange(1, 30))) for _ in range(3000)]
     texts += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r["text"]]
+    assert two.quick is not None
+    plain = list("abZ19'.,-_()\t\n \u00a0ÉßñžÿĳŒ") + [" ", " ", "'s", "'ll", "don't", "  "]
+    texts += ["".join(dice.choices(plain, k=dice.randrange(1, 40))) for _ in range(3000)]
+    for text, (a, b) in zip(texts, two.encode(texts)):
+        assert a == two.a.encode(" " + text, add_special_tokens=False).ids
+        assert b == two.b.encode(text)
     aligner = token_alignment.Aligner(two)
     for text, (n_a, n_b, _, _, groups, _, _) in zip(texts, aligner.documents(texts)):
         [(a, b)] = two.encode([text])
