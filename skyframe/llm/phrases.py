@@ -38,9 +38,9 @@ MAX_WORDS = 4
 TOP = 2000
 NO_LANGUAGE = "und"
 #: Text of a chunk; counting it takes some thirty times as much memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Ranks on a tile's side, and tiles on a side that may be dense.
-TILE = 1024
+TILE = 512
 DENSE_SIDE = 64
 #: A tile is counted densely if it has a pair for so many of its cells.
 CELLS_A_PAIR = 16
@@ -220,6 +220,7 @@ def collocations(
     it has ``cover`` hundredths of its count. n is the number of words of the language.
     """
     small_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
     lang = F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     texts = docs.select(lang, F.col(text_column).alias("text"))
     chunks = materialize(texts.mapInArrow(word_chunks, CHUNK_SCHEMA), "word_chunks")
