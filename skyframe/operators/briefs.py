@@ -96,6 +96,17 @@ def dedupe_lists(briefs: DataFrame) -> DataFrame:
     )
 
 
+def parsed_json(text: Column) -> Column:
+    """A text that is one JSON value as a variant, else null.
+
+    The parser stops behind the first value and ignores what follows. What follows a value
+    cannot continue both a list and an object, so the text must fit into both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(listed.isNotNull() & named.isNotNull(), F.try_parse_json(text))
+
+
 def _read(column: str, path: str, type_name: str) -> Column:
     return F.expr(f"try_variant_get({column}, '{path}', '{type_name}')")
 
@@ -124,7 +135,7 @@ def _strings(kind: Column) -> Column:
 
 def parse_briefs(briefs: DataFrame) -> DataFrame:
     """Adds the parsed brief: summary, observations, lists and their shapes."""
-    rows = briefs.withColumn("doc", F.try_parse_json("content"))
+    rows = briefs.withColumn("doc", parsed_json(F.col("content")))
     rows = rows.withColumns(
         {
             "keys": F.map_keys(F.expr("try_variant_get(doc, '$', 'map<string,variant>')")),
@@ -246,7 +257,7 @@ def rejections(checked: DataFrame) -> DataFrame:
 
 def reply_valid(content: Column) -> Column:
     """Whether a reply is exactly ``{"status": "ok", "summary": <1..300 characters>}``."""
-    doc = F.try_parse_json(content)
+    doc = parsed_json(content)
     fields = F.try_variant_get(doc, "$", "map<string,variant>")
     status, summary = (F.try_element_at(fields, F.lit(k)) for k in ("status", "summary"))
     rules = [

@@ -125,6 +125,16 @@ def test_briefs_get_their_first_reason(spark):
     assert record.finish_reason == "unknown" and len(record.output_sha256) == 64
 
 
+def test_json_with_text_behind_it_is_none(spark):
+    broken = ["4763 Of thn", '"a" b', '{"a":1}}', "[1] ]", "1,2", '1,"w":2', "", "x", "1 {"]
+    good = ["4763", ' {"a":[1]}\n', "[1]", '"]}"', "null"]
+    df = spark.createDataFrame([(c,) for c in broken + good], "c string")
+    assert {r.c for r in df.filter(B.parsed_json(F.col("c")).isNotNull()).collect()} == set(good)
+    brief = ("7 of all", "stop", None, ["tca"])
+    briefs = spark.createDataFrame([brief], "content string, finish_reason string, reasoning_content string, available array<string>")
+    assert B.check_briefs(briefs).first().reason == "invalid_json"
+
+
 def test_replies(spark):
     replies = ['{"status":"ok","summary":"fine"}', '{"status":"ok"}', '{"status":"no","summary":"x"}', '{"status":"ok","summary":""}', "x", '{"status":"ok","summary":"<think>"}', '{"status":"ok","summary":5}']
     df = spark.createDataFrame(list(enumerate(replies)), "i int, c string").select("i", B.reply_valid(F.col("c")).alias("v"))
