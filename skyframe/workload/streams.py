@@ -16,20 +16,25 @@ from skyframe.workload.screening import DETECTIONS, detections
 from skyframe.workload.views import ELEMENTS, EXECUTIONS, with_views
 
 
-def streamed(df, name: str, files_per_batch: int | None = None):
+#: Batches of the streams whose jobs do not mind the order of files.
+BATCHES = 4
+
+
+def streamed(df, name: str, batches: int | None = None):
     """The frame as a stream of Parquet files. Returns (stream, work folder).
 
     Files written in parallel arrive in no set order, so a job with a watermark
     takes them as one batch, as anything else could drop rows as late. Jobs that
-    do not mind the order take a few files per batch.
+    do not mind the order take them in ``batches`` of equal size, however many files
+    the session's settings make of the rows: each batch has a fixed cost.
     """
     spark = df.sparkSession
     work = f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/{name}_{uuid4().hex[:8]}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(parts).write.parquet(f"{work}/input")
     reader = spark.readStream.schema(spark.read.parquet(f"{work}/input").schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if batches:
+        reader = reader.option("maxFilesPerTrigger", -(-parts // batches))
     return reader.parquet(f"{work}/input"), work
 
 
@@ -51,7 +56,7 @@ def stream_ingest(spark, folder):
     """Elements arrive twice; each (object, source, epoch) is stored once."""
     elements = V.elements(spark, folder)
     twice = elements.unionByName(elements)
-    stream, work = streamed(twice, "ingest", files_per_batch=1)
+    stream, work = streamed(twice, "ingest", batches=BATCHES)
     J.append_new_elements(stream, f"{work}/table", f"{work}/state").awaitTermination()
     stored = spark.read.parquet(f"{work}/table")
     return stored.groupBy("object_id", "source", F.unix_micros("epoch").alias("epoch_us")).agg(
@@ -65,7 +70,7 @@ def stream_ingest(spark, folder):
 )
 def stream_dedupe(spark, folder):
     elements = V.elements(spark, folder)
-    stream, work = streamed(elements.unionByName(elements), "dedupe", files_per_batch=2)
+    stream, work = streamed(elements.unionByName(elements), "dedupe", batches=BATCHES)
     J.run_to_table(J.fresh_elements(stream), f"{work}/table", f"{work}/state")
     stored = spark.read.parquet(f"{work}/table")
     return stored.select("object_id", "source", F.unix_micros("epoch").alias("epoch_us"))
@@ -80,7 +85,7 @@ def stream_dedupe(spark, folder):
 )
 def stream_canonical(spark, folder):
     """Epochs arrive late and early, over several batches."""
-    stream, work = streamed(V.elements(spark, folder), "canonical", files_per_batch=1)
+    stream, work = streamed(V.elements(spark, folder), "canonical", batches=BATCHES)
     J.run_latest(J.canonical_elements(stream), f"{work}/current", f"{work}/state", "object_id")
     rows = J.current_rows(spark, f"{work}/current")
     return rows.select("object_id", "element_id", "source", F.unix_micros("epoch").alias("epoch_us"))

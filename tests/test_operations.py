@@ -212,3 +212,19 @@ def test_stream_ingest_ignores_repeats_of_any_age(spark, work):
     J.append_new_elements(stream, f"{work}/table", f"{work}/state").awaitTermination()
     rows = spark.read.parquet(f"{work}/table").collect()
     assert sorted(r.element_id for r in rows) == [1, 2, 4]
+
+
+def test_batches_of_a_stream_do_not_grow_with_its_files(spark):
+    from pathlib import Path
+
+    from skyframe.workload.streams import BATCHES, streamed
+
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        stream, folder = streamed(spark.range(1000), "many", batches=BATCHES)
+        J.run_to_table(stream, f"{folder}/table", f"{folder}/state")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len([p for p in Path(f"{folder}/state/commits").iterdir() if p.name.isdigit()]) == BATCHES
+    assert spark.read.parquet(f"{folder}/table").distinct().count() == 1000
