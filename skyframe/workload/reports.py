@@ -16,7 +16,7 @@ from skyframe.operators import propagation as P
 from skyframe.operators import selection as Sel
 from skyframe.operators import trajectory as T
 from skyframe.plans.propagation_run import propagation_run, store_propagation_run
-from skyframe.session import new_folder
+from skyframe.session import broadcast_if_small, new_folder
 from skyframe.sources import feeds
 from skyframe.sources.tables import check_unique, read_run_rows, read_runs
 from skyframe.workload import views as V
@@ -30,10 +30,16 @@ ARRAY_ROWS = 500
 
 
 def land_arrays(records, path: str, keys: tuple[str, ...] = ()) -> None:
-    """Write records as files that hold one JSON array each, below ``keys`` folders."""
+    """Write records as files that hold one JSON array each, below ``keys`` folders. Each
+    folder has as many files as its own records fill."""
     fields = [c for c in records.columns if c in K.OMM_FIELDS]
-    parts = max(1, -(-records.count() // ARRAY_ROWS))
-    part = F.pmod(F.xxhash64(*fields), F.lit(parts)).alias("part")
+    parts = F.ceil(F.count("*") / ARRAY_ROWS).alias("parts")
+    if keys:
+        sizes = records.groupBy(*keys).agg(parts)
+        records = records.join(broadcast_if_small(sizes, feeds.MAX_GROUPS), [*keys])
+    else:
+        records = records.crossJoin(F.broadcast(records.agg(parts)))
+    part = F.pmod(F.xxhash64(*fields), F.col("parts")).alias("part")
     arrays = records.groupBy(*keys, part).agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value")).drop("part")
     writer = arrays.write.option("maxRecordsPerFile", 1)
     (writer.partitionBy(*keys) if keys else writer).text(path)

@@ -74,3 +74,14 @@ def test_raw_records_keep_unparsed_fields(spark):
     rows = spark.createDataFrame([(1, "x", "12"), (2, None, "no number")], "ordinal long, `A_NAME` string, `A_NUMBER` string")
     found = with_raw_variant(rows).select(raw_field("A_NAME"), raw_field("A_NUMBER", "int"), raw_field("ABSENT")).collect()
     assert [tuple(r) for r in found] == [("x", 12, None), (None, None, None)]
+
+
+def test_landed_groups_have_as_many_files_as_they_fill(spark, work):
+    from pathlib import Path
+
+    from skyframe.workload.reports import ARRAY_ROWS, land_arrays
+
+    rows = [(str(i), "ab"[i % 40 == 0]) for i in range(8 * ARRAY_ROWS)]
+    land_arrays(spark.createDataFrame(rows, "NORAD_CAT_ID string, group string"), f"{work}/groups", ("group",))
+    files = {g: len(list(Path(f"{work}/groups/group={g}").glob("*.txt"))) for g in "ab"}
+    assert files["a"] <= 8 and files["b"] == 1
