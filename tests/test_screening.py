@@ -325,3 +325,18 @@ def test_tied_detections_give_one_event_each(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert len(events) == 3000 and {e.merged for e in events} == {2}
+
+
+def test_run_counters_keep_the_propagations_of_episodes(spark):
+    import duckdb
+
+    from skyframe.workload.registry import load
+
+    folder, counter = "/root/testdata/sf0.001", "episode_propagations"
+    run = load()["screening_run"]
+    engine = duckdb.connect()
+    engine.execute("SET TimeZone = 'UTC'")
+    for name in ("nation", "customer", "orders"):
+        engine.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    expected = engine.execute(f"SELECT {counter} FROM ({run.sql})").fetchone()[0]
+    assert run.run(spark, folder).first()[counter] == expected
