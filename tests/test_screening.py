@@ -51,6 +51,15 @@ def test_pairs_equal_brute_force_with_a_crowded_cube(spark, hot):
     assert sorted((r.a_object_id, r.b_object_id) for r in found.collect()) == expected
 
 
+def test_few_copies_of_a_row_are_sent_to_neighbours(spark):
+    from skyframe.operators import spatial
+
+    rows = spark.range(20_000).select(*[(F.rand(i) * 1000).alias(c) for i, c in enumerate("xyz")])
+    edge = spatial.EDGE_RADII * 10.0
+    copies = spatial._half_neighbourhood(spatial._cells(rows, edge), edge, 10.0).count() / 20_000
+    assert 1 <= copies < 4.5
+
+
 def test_pairs_never_plan_a_nested_loop(spark):
     scene = states(spark, [(i, float(i), 0.0, 0.0) for i in range(10)])
     plan = fixed_radius_pairs(scene, 5.0)._jdf.queryExecution().executedPlan().toString()
