@@ -349,3 +349,15 @@ def test_run_counters_keep_the_propagations_of_episodes(spark):
         engine.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     expected = engine.execute(f"SELECT {counter} FROM ({run.sql})").fetchone()[0]
     assert run.run(spark, folder).first()[counter] == expected
+
+
+def test_candidates_are_not_refined_for_their_own_queries(spark, monkeypatch):
+    from skyframe.plans import screening_run
+    from skyframe.workload import screening
+
+    def refused(*args, **options):
+        raise AssertionError("refined")
+
+    monkeypatch.setattr(screening_run, "refine", refused)
+    assert screening.chunk_limits(spark, "/root/testdata/sf0.001").count() >= 0
+    assert screening.screening_candidates(spark, "/root/testdata/sf0.001").columns[0] == "chunk"
