@@ -287,6 +287,18 @@ def test_connected_detections_are_one_episode(spark, gap):
     assert (best.miss_distance_km, best.merged, best.primary_object_id) == (1.0, 2, 1)
 
 
+def test_detections_are_dealt_out_once(spark):
+    from skyframe.workload.screening import detections
+
+    rows = detections(spark, "/root/testdata/sf0.001")
+    twice = rows.unionByName(rows)
+    whole, sliced = E.merge_episodes(twice, E.within_gap(600)), E.merge_episodes(twice, E.within_gap(600), 86_400)
+    assert whole.exceptAll(sliced).isEmpty() and sliced.exceptAll(whole).isEmpty()
+    plan = whole._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 0  # required exchanges come later
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("slice_seconds", [1, 86_400])
 def test_a_busy_pair_is_the_same_in_any_slices(spark, slice_seconds):
     times = [0, 5, 5, 14, 30, 31, 60, 75, 90, 200]
