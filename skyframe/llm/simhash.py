@@ -9,8 +9,9 @@ few carry-save counters follow the distances of 64 pairs at once.
 A corpus (``one_of_each``) takes shorter shingles and a wider radius, so that most texts
 with a similarity of 0.8 or more are within it. There a link is a proposal: the two texts
 are compared, and it counts if the Jaccard similarity of their five-word shingles is
-``SIMILAR`` or more. As all pairs of a large group are too many, each group proposes two
-forests of its nearest pairs.
+``SIMILAR`` or more. First each group proposes two forests of its nearest pairs, which joins
+most of what is similar. Then every other pair within the radius whose texts are not yet in
+one component is compared too, so no link is lost and few pairs of a large group are listed.
 
 Defined results: a text that is null, empty or white space has the fingerprint zero.
 Repeated rows each give a row. A null ``doc_id`` is ignored when the smallest of a
@@ -300,20 +301,39 @@ def unite(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             root[:] = nearer
 
 
-def _compare(rows: DataFrame, radius: int, nearest: bool) -> DataFrame:
-    """Links (a, b) inside the groups (path, key) of ``rows``."""
+def apart_links(
+    component: np.ndarray, mixed: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ``pairs`` that are not of one component. A ``mixed`` row has texts of several."""
+    for left, right in pairs:
+        apart = mixed[left] | mixed[right] | (component[left] != component[right])
+        yield left[apart], right[apart]
+
+
+def _compare(rows: DataFrame, radius: int, nearest: bool, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) inside the groups (path, key) of ``rows``. With ``known`` components
+    (fp, component, mixed), all pairs that these leave apart."""
     keys = ["path", "key"]
     linked = nearest_links if nearest else spanning_links
+    everything = known is not None
+
+    def pairs(block: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fp, starts = block["fp"].view(np.uint64), run_starts(block, keys)
+        if everything:
+            yield from apart_links(block["component"], block["mixed"].astype(bool), close_pairs(fp, starts, radius))
+        else:
+            yield linked(fp, starts, radius)
 
     def run(batches):
         for block in groups_in_order(batches, keys):
-            fp = block["fp"].view(np.uint64)
-            i, j = linked(fp, run_starts(block, keys), radius)
-            if len(i):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[i].view(np.int64)), pa.array(fp[j].view(np.int64))], names=["a", "b"]
-                )
-
+            fp = block["fp"]
+            for i, j in pairs(block):
+                if len(i):
+                    ends = [pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))]
+                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    if everything:
+        rows = rows.join(known, "fp")
     placed = rows.repartition(*keys).sortWithinPartitions(*keys)
     return placed.mapInArrow(run, "a long, b long")
 
@@ -331,9 +351,12 @@ def _blockwise(rows: DataFrame, counts: DataFrame, group_rows: int) -> DataFrame
     return spread.select(F.xxhash64("path", "key").alias("path"), F.xxhash64("key", "p.low", "p.high").alias("key"), "fp")
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS, nearest: bool = False) -> DataFrame:
+def fingerprint_links(
+    distinct: DataFrame, radius: int = RADIUS, group_rows: int = GROUP_ROWS, nearest: bool = False, known: DataFrame | None = None
+) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``radius`` bits. The two
-    of a ``nearest`` link are that close themselves."""
+    of a ``nearest`` link are that close themselves. With ``known`` components (fp, component,
+    mixed) all close pairs come that are not in one of these."""
     spark = distinct.sparkSession
     small_batches(spark)
     links = None
@@ -343,13 +366,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, group_rows: int
         counts = rows.groupBy("path", "key").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows)
         counts = materialize(counts, "hot")
         hot = broadcast_if_small(counts.select("path", "key"), BROADCAST_KEYS)
-        here = _compare(rows.join(hot, ["path", "key"], "left_anti"), radius, nearest)
+        here = _compare(rows.join(hot, ["path", "key"], "left_anti"), radius, nearest, known)
         links = here if links is None else links.unionAll(here)
         if counts.isEmpty():
             return links
         rows = rows.join(hot, ["path", "key"], "left_semi")
         if level == LEVELS - 1:
-            return links.unionAll(_compare(_blockwise(rows, counts, group_rows), radius, nearest))
+            return links.unionAll(_compare(_blockwise(rows, counts, group_rows), radius, nearest, known))
     return links
 
 
@@ -411,6 +434,17 @@ def similar_links(links: DataFrame, texts: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], ["a", "b"]).mapInArrow(run, "a long, b long")
 
 
+def _texts_of(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(node, text): one text of every node that a link names. Texts of one node have the
+    same words."""
+    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(named, "node").select("node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("text"))
+    wanted = broadcast_if_small(wanted, BROADCAST_KEYS)
+    on = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_hash"])
+    return materialize(rows.join(wanted, on).select("node", "text").dropDuplicates(["node"]), "texts")
+
+
 def similar_groups(
     docs: DataFrame, id_column: str, text_column: str, radius: int = CORPUS_RADIUS, words: int = CORPUS_WORDS
 ) -> DataFrame:
@@ -427,14 +461,20 @@ def similar_groups(
     equal = nodes.join(heads, "fp").filter("node <> head")
     links = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(equal.select(F.col("head").alias("a"), F.col("node").alias("b")))
     links = materialize(links, "proposed")
-    # One text of every node that a link names; texts of one node have the same words.
-    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(named, "node").select("node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("text"))
-    wanted = broadcast_if_small(wanted, BROADCAST_KEYS)
-    on = rows["_id"].eqNullSafe(wanted["_id"]) & (rows["_hash"] == wanted["_hash"])
-    texts = materialize(rows.join(wanted, on).select("node", "text").dropDuplicates(["node"]), "texts")
-    found = connected_components(similar_links(links, texts))
+    good = materialize(similar_links(links, _texts_of(links, nodes, docs, id_column, text_column)), "similar")
+    # Forests and heads may pass over a link, so all pairs they leave apart are compared.
+    joined = nodes.join(connected_components(good), "node", "left")
+    joined = materialize(joined.select("fp", "node", F.coalesce("component", "node").alias("component")), "joined")
+    known = joined.groupBy("fp").agg(F.min("component").alias("component"), (F.min("component") < F.max("component")).alias("mixed"))
+    known = materialize(known, "known")
+    apart = fingerprint_links(known.select("fp"), radius, known=known)
+    apart = apart.unionAll(known.filter("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
+    ends = [joined.select(F.col("fp").alias(e), F.col("node").alias(f"node_{e}"), F.col("component").alias(f"component_{e}")) for e in "ab"]
+    rest = apart.join(ends[0], "a").join(ends[1], "b").filter("component_a <> component_b")
+    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    rest = materialize(rest.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    more = similar_links(rest, _texts_of(rest, nodes, docs, id_column, text_column))
+    found = connected_components(good.unionAll(more))
     classes = materialize(nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "classes")
     smallest = classes.groupBy("component").agg(F.min("first").alias("smallest"))
     labels = materialize(classes.join(smallest, "component").select("node", "smallest"), "labels")

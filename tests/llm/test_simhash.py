@@ -145,6 +145,29 @@ def test_near_copies_of_a_corpus_go_by_similarity(spark, documents):
     assert len(near) > 50 and sum(i not in kept for i in near) >= 0.6 * len(near)
 
 
+def test_no_link_of_a_corpus_is_passed_over(spark, documents):
+    """Components are those of all pairs within the radius that are similar, in families
+    whose nearest pairs are often not similar."""
+    rng = random.Random(4)
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{i}" for i in rng.choices(range(150), k=260)]
+        for _ in range(40):
+            text = base[:]
+            for at in rng.sample(range(260), rng.choice([3, 5, 7, 9])):
+                text[at] = f"x{rng.randrange(1000)}"
+            rows.append((len(rows), " ".join(text), "s"))
+    texts = [t.encode() for _, t, _ in rows]
+    marks = np.array([simhash.fingerprint(t, simhash.CORPUS_WORDS) for t in texts], np.uint64)
+    root = np.arange(len(rows))
+    for i in range(len(rows)):
+        near = np.flatnonzero(np.bitwise_count(marks[i] ^ marks) <= simhash.CORPUS_RADIUS)
+        near = np.array([j for j in near if j > i and simhash.similar(texts[i], texts[j])], np.int64)
+        simhash.unite(root, np.full(len(near), i), near)
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()}
+    assert kept == set(root.tolist()) and 8 < len(kept) < 300
+
+
 def test_nearest_links_are_close_and_connect():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
