@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,10 @@ MIN_COUNT = 30
 MAX_WORDS = 4
 TOP = 2000
 NO_LANGUAGE = "und"
-#: Text of a chunk; counting it takes some thirty times as much memory.
-CHUNK_BYTES = 1 << 20
+#: Text of a chunk, all of one language; counting it takes some thirty times as much memory.
+CHUNK_BYTES = 1 << 19
+#: Text of unfinished chunks of all languages together.
+HELD_BYTES = 4 << 20
 #: Ranks on a tile's side, and tiles on a side that may be dense.
 TILE = 512
 DENSE_SIDE = 64
@@ -58,7 +61,8 @@ BREAK = b"\xff"
 TO_BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 
 CHUNK_SCHEMA = "lang string, words binary, ids binary, n long"
-COUNT_SCHEMA = "lang string, phrase string, n long"
+#: ``lang_phrase`` is both with a line end between, which no phrase holds.
+COUNT_SCHEMA = "lang_phrase string, n long"
 
 
 def word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +70,7 @@ def word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words in order with -1 between pieces."""
     known: dict[str, dict[bytes, int]] = {}
     found: dict[str, list[np.ndarray]] = {}
-    held = 0
+    held: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text"))):
             words = known.setdefault(lang, {BREAK: 0})
@@ -74,10 +78,13 @@ def word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = [words.setdefault(w, len(words)) for w in tokens]
             ids.append(0)
             found.setdefault(lang, []).append(np.array(ids, np.int32))
-            held += len(text)
-            if held >= CHUNK_BYTES:
+            held[lang] = held.get(lang, 0) + len(text)
+            if held[lang] >= CHUNK_BYTES:
+                yield from _chunks({lang: known.pop(lang)}, found)
+                del found[lang], held[lang]
+            elif sum(held.values()) >= HELD_BYTES:
                 yield from _chunks(known, found)
-                known, found, held = {}, {}, 0
+                known, found, held = {}, {}, {}
     yield from _chunks(known, found)
 
 
@@ -187,11 +194,13 @@ def count_phrases(chunks: DataFrame, blooms: list[Bloom]) -> DataFrame:
                 names, counts = phrases_of(lang, words.split(b" "), np.frombuffer(ids, "<i4"), sent.value)
                 for low in range(0, len(names), OUT_ROWS):
                     some = pa.array(names[low : low + OUT_ROWS], pa.binary()).cast(pa.string())
-                    langs = pa.array([lang] * len(some), pa.string())
                     n = pa.array(counts[low : low + OUT_ROWS].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([langs, some, n], names=["lang", "phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, some, "\n"), n], names=["lang_phrase", "n"])
 
-    return chunks.select("lang", "words", "ids").mapInArrow(run, COUNT_SCHEMA).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    counted = chunks.select("lang", "words", "ids").mapInArrow(run, COUNT_SCHEMA).groupBy("lang_phrase").agg(F.sum("n").alias("f"))
+    phrase = F.substring_index("lang_phrase", "\n", -1)
+    lang = F.left("lang_phrase", F.length("lang_phrase") - F.length("phrase") - 1)
+    return counted.withColumn("phrase", phrase).select(lang.alias("lang"), "phrase", "f")
 
 
 def _with_count(cuts: DataFrame, counts: DataFrame, part: str, name: str, total: int) -> DataFrame:
@@ -220,7 +229,7 @@ def collocations(
     it has ``cover`` hundredths of its count. n is the number of words of the language.
     """
     small_batches(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(HELD_BYTES))
     lang = F.coalesce(F.col(lang_column).cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     texts = docs.select(lang, F.col(text_column).alias("text"))
     chunks = materialize(texts.mapInArrow(word_chunks, CHUNK_SCHEMA), "word_chunks")

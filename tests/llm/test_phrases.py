@@ -116,3 +116,22 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "lang string, text string")
     assert phrases.collocations(docs).collect() == []
     assert phrases.collocations(docs.withColumn("x", F.lit(1))).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_a_chunk_is_of_one_language(monkeypatch):
+    """Texts of languages in turn fill one chunk each, and what is held together is bounded."""
+    import pyarrow as pa
+
+    texts = ["a b " * 25 for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"] * 20), pa.array(texts)], names=["lang", "text"])
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 1000)
+    found = [(c.column("lang")[0].as_py(), c.column("n")[0].as_py()) for c in phrases.word_chunks(iter([batch]))]
+    assert found == [("x", 500), ("y", 500)] * 2
+    monkeypatch.setattr(phrases, "HELD_BYTES", 400)
+    assert sum(c.column("n")[0].as_py() for c in phrases.word_chunks(iter([batch]))) == 2000
+
+
+def test_a_language_may_hold_a_line_end(spark):
+    docs = spark.createDataFrame([("a b a b", "x\ny")] * 20 + [("a b", "x")] * 30, "text string, lang string")
+    found = {(r["lang"], r["phrase"], r["a"], r["n"]) for r in phrases.collocations(docs, min_count=30).collect()}
+    assert ("x\ny", "a b", 40, 80) in found and ("x", "a b", 30, 60) in found
