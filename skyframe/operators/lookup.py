@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from skyframe import constants as K
 from skyframe.functions.motion import altitude_km, speed_km_s
 from skyframe.functions.text import display_kind, operational_status, strip
-from skyframe.session import broadcast_if_small
+from skyframe.session import broadcast_if_small, materialize
 
 
 def by_key(df: DataFrame, key: str, value: int) -> DataFrame:
@@ -133,7 +133,17 @@ def grounded_events(events: DataFrame, runs: DataFrame, objects: DataFrame, elem
         "window_end",
     )
     # Few runs hold many events; a counted table of runs is broadcast, a larger one shuffles.
-    rows = events.join(broadcast_if_small(run_facts, BROADCAST_RUNS), "run_id", "left")
+    # Runs may be summed up from events, so they are written before they are counted.
+    rows = events.join(broadcast_if_small(materialize(run_facts, "runs"), BROADCAST_RUNS), "run_id", "left")
+    # Exact elements first: events that are dealt out by their primary element stay so.
+    for side in ("primary", "secondary"):
+        exact = elements.select(
+            F.col("element_id").alias(f"{side}_element_id"),
+            F.col("object_id").alias(f"{side}_element_object_id"),
+            F.col("source").alias(f"{side}_element_source"),
+            F.col("epoch").alias(f"{side}_element_epoch"),
+        )
+        rows = rows.join(exact, f"{side}_element_id", "left")
     for side in ("primary", "secondary"):
         named = objects.select(
             F.col("id").alias(f"{side}_object_id"),
@@ -142,13 +152,7 @@ def grounded_events(events: DataFrame, runs: DataFrame, objects: DataFrame, elem
             F.col("object_id").alias(f"{side}_designator"),
             F.col("object_type").alias(f"{side}_object_type"),
         )
-        exact = elements.select(
-            F.col("element_id").alias(f"{side}_element_id"),
-            F.col("object_id").alias(f"{side}_element_object_id"),
-            F.col("source").alias(f"{side}_element_source"),
-            F.col("epoch").alias(f"{side}_element_epoch"),
-        )
-        rows = rows.join(named, f"{side}_object_id", "left").join(exact, f"{side}_element_id", "left")
+        rows = rows.join(named, f"{side}_object_id", "left")
     return rows.withColumn("problem", grounding_problem())
 
 

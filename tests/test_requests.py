@@ -85,3 +85,20 @@ def test_landed_groups_have_as_many_files_as_they_fill(spark, work):
     land_arrays(spark.createDataFrame(rows, "NORAD_CAT_ID string, group string"), f"{work}/groups", ("group",))
     files = {g: len(list(Path(f"{work}/groups/group={g}").glob("*.txt"))) for g in "ab"}
     assert files["a"] <= 8 and files["b"] == 1
+
+
+def joined_plan(spark, name):
+    """The plan of a query over tables too large to broadcast."""
+    from skyframe.workload.registry import load
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return load()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_events_stay_with_their_primary_element(spark):
+    # 15 when objects were looked up before elements.
+    assert joined_plan(spark, "grounding").count("Exchange hashpartitioning") <= 13
