@@ -265,24 +265,24 @@ def replay_requests(requests: DataFrame, elements: DataFrame, max_targets: int =
     too_many = F.lit(f"playback supports at most {max_targets} targeted elements")
     refused = named.filter(crowded).select("request_id", too_many.alias("error"))
     taken = named.filter(~crowded).select("request_id", "objects", F.explode_outer("wanted").alias("element_id"))
-    stored = elements.select("element_id", "object_id", F.lit(True).alias("known"))
-    found = taken.join(stored, "element_id", "left")
+    columns = [c for c in elements.columns if c != "element_id"]
+    found = taken.join(elements.withColumn("known", F.lit(True)), "element_id", "left")
+    rows = F.collect_list(F.when(F.col("known"), F.struct("element_id", *columns)))
     judged = found.groupBy("request_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("element_id")))).alias("missing"),
         F.array_sort(F.collect_set("object_id")).alias("found"),
         F.first("objects").alias("objects"),
+        rows.alias("rows"),
     )
     unknown = F.concat(F.lit("unknown element ids: "), F.array_join("missing", ", "))
     error = F.when(F.size("missing") > 0, unknown).when(
         F.col("objects").isNotNull() & (F.col("objects") != F.col("found")), F.lit("element ids do not match the requested objects")
     )
-    judged = judged.select("request_id", error.alias("error"))
-    accepted = taken.filter(F.col("element_id").isNotNull()).select("request_id", "element_id").join(
-        judged.filter("error IS NULL"), "request_id"
-    )
-    columns = [c for c in elements.columns if c != "element_id"]
-    chosen = accepted.join(elements, "element_id").select("request_id", "error", "element_id", *columns)
-    return chosen.unionByName(judged.filter("error IS NOT NULL").unionByName(refused), allowMissingColumns=True)
+    # One row stands for a refused request, so that accepted and refused come from one pass.
+    nothing = F.array(F.struct(*[F.lit(None).cast(elements.schema[c].dataType).alias(c) for c in ["element_id", *columns]]))
+    told = F.when(F.col("error").isNull(), F.col("rows")).otherwise(nothing)
+    judged = judged.select("request_id", error.alias("error"), "rows").select("request_id", "error", F.inline(told))
+    return judged.unionByName(refused, allowMissingColumns=True)
 
 
 def missing_ids(requested: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -276,7 +276,7 @@ def exact_replay_elements(spark, folder):
     requests = asked.groupBy("request_id").agg(
         F.collect_set("wanted").alias("element_ids"), F.collect_set(partial).alias("object_ids")
     ).withColumn("object_ids", F.when(F.col("request_id") % 5 != 2, F.col("object_ids")))
-    chosen = T.replay_requests(requests, elements)
+    chosen = T.replay_requests(requests, elements.select("element_id", "object_id", "source", "epoch"))
     return chosen.select("request_id", "element_id", "object_id", "source", F.unix_micros("epoch").alias("epoch_us"), "error")
 
 

@@ -102,3 +102,7 @@ def joined_plan(spark, name):
 def test_events_stay_with_their_primary_element(spark):
     # 15 when objects were looked up before elements.
     assert joined_plan(spark, "grounding").count("Exchange hashpartitioning") <= 13
+
+
+def test_replay_requests_look_elements_up_once(spark):
+    assert joined_plan(spark, "exact_replay_elements").count("Join") == 1
