@@ -50,6 +50,12 @@ CELLS_A_PAIR = 16
 #: Bits of the Bloom filter: 16 for each phrase, at most these.
 MOST_BITS = 1 << 27
 PROBES = 4
+#: Bits by which the hash of a phrase turns before that of its next word joins it.
+TURN = 21
+PHRASE_HASH = (
+    "aggregate(split(phrase, ' '), 0L, (h, word) -> "
+    f"(shiftleft(h, {TURN}) | shiftrightunsigned(h, {64 - TURN})) ^ xxhash64(lang, word))"
+)
 #: A part is hot if it holds this share of all cuts, so at most so many parts are hot.
 HOT_SHARE = 4096
 #: Parts in which the phrases of one language are ranked before they meet.
@@ -96,10 +102,12 @@ def _chunks(known: dict[str, dict[bytes, int]], found: dict[str, list[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["lang", "words", "ids", "n"])
 
 
-def count_pairs(left: np.ndarray, right: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def count_pairs(
+    left: np.ndarray, right: np.ndarray, ranks: int, places: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of ranks below ``ranks``: (left, right, count, place of each input
-    pair among them)."""
-    inverse = np.zeros(len(left), np.int64)
+    pair among them). Without ``places`` there are none of these."""
+    inverse = np.zeros(len(left) if places else 0, np.int64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     row, column = left // TILE, right // TILE
@@ -112,15 +120,20 @@ def count_pairs(left: np.ndarray, right: np.ndarray, ranks: int) -> tuple[np.nda
         cell = left[here] % TILE * TILE + right[here] % TILE
         counts = np.bincount(cell, minlength=TILE * TILE)
         used = np.flatnonzero(counts)
-        place = np.zeros(TILE * TILE, np.int64)
-        place[used] = np.arange(len(used)) + size
-        inverse[here] = place[cell]
+        if places:
+            place = np.zeros(TILE * TILE, np.int64)
+            place[used] = np.arange(len(used)) + size
+            inverse[here] = place[cell]
         parts.append((used // TILE + t // DENSE_SIDE * TILE, used % TILE + t % DENSE_SIDE * TILE, counts[used]))
         size += len(used)
         sparse[here] = False
     rest = np.flatnonzero(sparse)
-    codes, at, counts = np.unique(left[rest] * ranks + right[rest], return_inverse=True, return_counts=True)
-    inverse[rest] = at + size
+    codes = left[rest] * ranks + right[rest]
+    if places:
+        codes, at, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        inverse[rest] = at + size
+    else:
+        codes, counts = np.unique(codes, return_counts=True)
     parts.append((codes // max(ranks, 1), codes % max(ranks, 1), counts))
     return (*[np.concatenate(p) for p in zip(*parts)], inverse)
 
@@ -132,23 +145,40 @@ class Bloom:
         self.slots, self.bits = slots, bits
 
     def holds(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(p, seed) for p in phrases), np.uint64, len(phrases))
+        found = np.zeros(len(phrases), np.uint64)
+        for i, phrase in enumerate(phrases):
+            for h in word_hashes(lang, phrase.split(b" ")):
+                found[i] = extended(found[i], h)
+        return self.holds_hashes(found)
+
+    def holds_hashes(self, hashes: np.ndarray) -> np.ndarray:
         low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-        inside = np.ones(len(phrases), bool)
+        inside = np.ones(len(hashes), bool)
         for j in range(PROBES):
             at = (low + np.uint64(j) * high) & np.uint64(self.bits - 1)
             inside &= (self.slots[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return inside
 
 
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    """Spark's ``xxhash64(lang, word)`` of every word."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+
+
+def extended(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases with one more word, from theirs and the word's: so a phrase has no
+    text before it is given out. The same as ``PHRASE_HASH``."""
+    return ((hashes << np.uint64(TURN)) | (hashes >> np.uint64(64 - TURN))) ^ words
+
+
 def bloom_of(counts: DataFrame) -> Bloom:
     """The filter of all (lang, phrase), put together by Spark; the driver gets at most
     MOST_BITS / 64 numbers."""
     bits = min(MOST_BITS, 1 << max(16, (16 * counts.count()).bit_length()))
     probes = [f"((h & 4294967295) + {j} * (shiftrightunsigned(h, 32) | 1)) & {bits - 1}" for j in range(PROBES)]
-    at = counts.select(F.xxhash64("lang", "phrase").alias("h")).select(F.explode(F.array(*map(F.expr, probes))).alias("at"))
+    at = counts.select(F.expr(PHRASE_HASH).alias("h")).select(F.explode(F.array(*map(F.expr, probes))).alias("at"))
     mask = F.expr("shiftleft(1L, int(at & 63))").alias("mask")
     found = at.select(F.expr("int(at div 64)").alias("slot"), mask).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     slots = np.zeros(bits // 64, np.uint64)
@@ -156,31 +186,42 @@ def bloom_of(counts: DataFrame) -> Bloom:
     return Bloom(slots, bits)
 
 
-def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, blooms: list[Bloom]) -> tuple[list[bytes], np.ndarray]:
-    """Phrases of one word more than there are filters, with their counts in a chunk."""
-    used, counts = np.unique(ids[ids >= 0], return_counts=True)
-    names = [words[i] for i in used.tolist()]
-    if not blooms:
-        return names, counts
-    last = names
+def counted_phrases(lang: str, words: list[bytes], ids: np.ndarray, blooms: list[Bloom]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Phrases of one word more than there are filters, as the numbers of their first,
+    second, ... words, with their counts in a chunk."""
     at = np.flatnonzero(ids >= 0)
-    inverse = np.searchsorted(used, ids[at])
-    for n, bloom in enumerate(blooms):
+    inverse = ids[at].astype(np.int64)
+    counts = np.bincount(inverse, minlength=len(words))
+    parts = [np.arange(len(words))]
+    hashes = of_word = word_hashes(lang, words) if blooms else np.zeros(0, np.uint64)
+    for n, bloom in enumerate(blooms, 1):
         # Rank what may be frequent, the most frequent first.
-        inside = np.flatnonzero(bloom.holds(lang, names))
+        inside = np.flatnonzero(bloom.holds_hashes(hashes))
         inside = inside[np.argsort(-counts[inside], kind="stable")]
-        rank = np.full(len(names), -1, np.int64)
+        rank = np.full(len(hashes), -1, np.int64)
         rank[inside] = np.arange(len(inside))
         here = np.full(len(ids), -1, np.int64)
         here[at] = rank[inverse]
-        names, last = [names[i] for i in inside.tolist()], [last[i] for i in inside.tolist()]
         at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-        left, right, counts, inverse = count_pairs(here[at], here[at + 1], len(names))
+        left, right, counts, inverse = count_pairs(here[at], here[at + 1], len(inside), n < len(blooms))
         # A phrase is its first part and the last word of its second part.
-        pairs = zip(left.tolist(), right.tolist())
-        ends = last
-        names, last = [b"%b %b" % (names[a], ends[b]) for a, b in pairs], [ends[b] for b in right.tolist()]
-    return names, counts
+        left, last = inside[left], parts[-1][inside[right]]
+        parts = [*[p[left] for p in parts], last]
+        hashes = extended(hashes[left], of_word[last])
+    return parts, counts
+
+
+def texts_of(parts: list[np.ndarray], words: pa.Array, begin: str = "") -> pa.Array:
+    """The words of each phrase joined by spaces, after ``begin``."""
+    first = pc.binary_join_element_wise(begin, words, "") if begin else words
+    columns = [first.take(pa.array(parts[0])), *[words.take(pa.array(p)) for p in parts[1:]]]
+    return pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
+
+
+def phrases_of(lang: str, words: list[bytes], ids: np.ndarray, blooms: list[Bloom]) -> tuple[list[bytes], np.ndarray]:
+    """The phrases of ``counted_phrases`` by their text."""
+    parts, counts = counted_phrases(lang, words, ids, blooms)
+    return [t.encode() for t in texts_of(parts, pa.array(words, pa.binary()).cast(pa.string())).to_pylist()], counts
 
 
 def count_phrases(chunks: DataFrame, blooms: list[Bloom]) -> DataFrame:
@@ -191,11 +232,13 @@ def count_phrases(chunks: DataFrame, blooms: list[Bloom]) -> DataFrame:
         for batch in batches:
             for chunk in range(batch.num_rows):
                 lang, words, ids = (batch.column(c)[chunk].as_py() for c in ("lang", "words", "ids"))
-                names, counts = phrases_of(lang, words.split(b" "), np.frombuffer(ids, "<i4"), sent.value)
-                for low in range(0, len(names), OUT_ROWS):
-                    some = pa.array(names[low : low + OUT_ROWS], pa.binary()).cast(pa.string())
+                known = words.split(b" ")
+                parts, counts = counted_phrases(lang, known, np.frombuffer(ids, "<i4"), sent.value)
+                texts = pa.array(known, pa.binary()).cast(pa.string())
+                for low in range(0, len(counts), OUT_ROWS):
+                    some = texts_of([p[low : low + OUT_ROWS] for p in parts], texts, f"{lang}\n")
                     n = pa.array(counts[low : low + OUT_ROWS].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, some, "\n"), n], names=["lang_phrase", "n"])
+                    yield pa.RecordBatch.from_arrays([some, n], names=["lang_phrase", "n"])
 
     counted = chunks.select("lang", "words", "ids").mapInArrow(run, COUNT_SCHEMA).groupBy("lang_phrase").agg(F.sum("n").alias("f"))
     phrase = F.substring_index("lang_phrase", "\n", -1)

@@ -135,3 +135,23 @@ def test_a_language_may_hold_a_line_end(spark):
     docs = spark.createDataFrame([("a b a b", "x\ny")] * 20 + [("a b", "x")] * 30, "text string, lang string")
     found = {(r["lang"], r["phrase"], r["a"], r["n"]) for r in phrases.collocations(docs, min_count=30).collect()}
     assert ("x\ny", "a b", 40, 80) in found and ("x", "a b", 30, 60) in found
+
+
+def test_hashes_of_phrases_need_no_text(spark):
+    """What a chunk extends word by word is what Spark hashes, and passes its filter."""
+    words = [f"größe{i}".encode() for i in range(50)]
+    dice = np.random.default_rng(5)
+    parts = [dice.integers(0, 50, 2000) for _ in range(3)]
+    of_word = phrases.word_hashes("de", words)
+    hashes = np.zeros(2000, np.uint64)
+    for part in parts:
+        hashes = phrases.extended(hashes, of_word[part])
+    names = [b" ".join(words[i] for i in p).decode() for p in zip(*[x.tolist() for x in parts])]
+    counts = spark.createDataFrame([("de", x) for x in names], "lang string, phrase string")
+    found = dict(counts.select("phrase", F.expr(phrases.PHRASE_HASH)).collect())
+    assert [found[x] % 2**64 for x in names] == hashes.tolist()
+    assert phrases.bloom_of(counts).holds_hashes(hashes).all()
+    ids = np.concatenate([[*p, -1] for p in zip(*parts)]).astype(np.int32)
+    everything = phrases.Bloom(np.full(1024, 2**64 - 1, np.uint64), 1 << 16)
+    counted, n = phrases.counted_phrases("de", words, ids, [everything] * 2)
+    assert sorted(zip(*[p.tolist() for p in counted], n.tolist())) == sorted((*k, v) for k, v in Counter(zip(*[p.tolist() for p in parts])).items())
