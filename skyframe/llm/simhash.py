@@ -11,7 +11,9 @@ with a similarity of 0.8 or more are within it. There a link is a proposal: the
 are compared, and it counts if the Jaccard similarity of their five-word shingles is
 ``SIMILAR`` or more. First each group proposes two forests of its nearest pairs, which joins
 most of what is similar. Then every other pair within the radius whose texts are not yet in
-one component is compared too, so no link is lost and few pairs of a large group are listed.
+one component is compared too, inside the group where the two first meet: sets of shingle
+hashes come to the group, and only links that join something leave it. So no link is lost
+and no pairs of a large group are listed.
 
 Defined results: a text that is null, empty or white space has the fingerprint zero.
 Repeated rows each give a row. A null ``doc_id`` is ignored when the smallest of a
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyframe.llm.common import groups_in_order, run_starts, small_batches, utf8
+from skyframe.llm.common import groups_in_order, ragged, run_starts, small_batches, utf8
 from skyframe.llm.components import connected_components
 from skyframe.session import broadcast_if_small, materialize
 
@@ -46,6 +48,13 @@ SIMILAR = 0.8
 GROUP_ROWS = 2048
 #: Levels of bands; after them a group is compared block by block.
 LEVELS = 4
+#: Shingles (8 bytes each) of the texts that are compared with each other in one task, rows
+#: that a task holds at once, and shingles that one text meets at once.
+GROUP_SHINGLES = 4_000_000
+HELD_ROWS = 1000
+SLAB = 1_000_000
+#: In place of a path: the texts of one fingerprint, which is the key.
+ONE_FINGERPRINT = -1
 #: Keys of over-full groups that may be broadcast (24 bytes each).
 BROADCAST_KEYS = 100_000
 
@@ -310,32 +319,58 @@ def apart_links(
         yield left[apart], right[apart]
 
 
+def first_meeting(path: np.ndarray, differing: np.ndarray, radius: int) -> np.ndarray:
+    """Whether two fingerprints with these ``differing`` bits, which meet under ``path``, meet
+    under no path before it. So each pair within the radius has one group."""
+    bands = radius + 1
+    first = np.ones(len(path), bool)
+    for p in np.unique(path).tolist():
+        digits = _digits(p, bands)
+        mine = np.flatnonzero(path == p)
+        for level, band in enumerate(digits):
+            for before in range(band):
+                first[mine] &= differing[mine] & np.uint64(band_masks((*digits[:level], before), bands)[1]) != 0
+    return first
+
+
+def _apart_rows(block: dict[str, np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
+    """(path, key, fp) of the rows that have a pair of two components in their group, if the
+    two first meet there."""
+    fp, path = block["fp"].view(np.uint64), block["path"]
+    busy = np.zeros(len(fp), bool)
+    pairs = close_pairs(fp, run_starts(block, ["path", "key"]), radius)
+    for left, right in apart_links(block["component"], block["mixed"].astype(bool), pairs):
+        met = first_meeting(path[left], fp[left] ^ fp[right], radius)
+        busy[left[met]] = busy[right[met]] = True
+    for p in np.unique(path[busy]).tolist():
+        mine = fp[busy & (path == p)]
+        fixed = np.uint64(band_masks(_digits(p, radius + 1), radius + 1)[0])
+        columns = [np.full(len(mine), p, np.int64), (mine & fixed).view(np.int64), mine.view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["path", "key", "fp"])
+
+
 def _compare(rows: DataFrame, radius: int, nearest: bool, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) inside the groups (path, key) of ``rows``. With ``known`` components
-    (fp, component, mixed), all pairs that these leave apart."""
+    (fp, component, mixed), the rows (path, key, fp) that have pairs which these leave apart."""
     keys = ["path", "key"]
     linked = nearest_links if nearest else spanning_links
-    everything = known is not None
-
-    def pairs(block: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fp, starts = block["fp"].view(np.uint64), run_starts(block, keys)
-        if everything:
-            yield from apart_links(block["component"], block["mixed"].astype(bool), close_pairs(fp, starts, radius))
-        else:
-            yield linked(fp, starts, radius)
+    apart = known is not None
 
     def run(batches):
         for block in groups_in_order(batches, keys):
+            if apart:
+                yield from _apart_rows(block, radius)
+                continue
             fp = block["fp"]
-            for i, j in pairs(block):
-                if len(i):
-                    ends = [pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))]
-                    yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+            i, j = linked(fp.view(np.uint64), run_starts(block, keys), radius)
+            if len(i):
+                ends = [pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))]
+                yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
-    if everything:
+    if apart:
         rows = rows.join(known, "fp")
     placed = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(run, "path long, key long, fp long" if apart else "a long, b long")
 
 
 def _blockwise(rows: DataFrame, counts: DataFrame, group_rows: int) -> DataFrame:
@@ -347,8 +382,8 @@ def _blockwise(rows: DataFrame, counts: DataFrame, group_rows: int) -> DataFrame
         F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(j, "part").alias("low"), F.greatest(j, "part").alias("high"))
     )
     spread = sized.withColumn("part", part).select("path", "key", "fp", F.explode(pairs).alias("p"))
-    # The pair joins the key; a key only tells groups apart here.
-    return spread.select(F.xxhash64("path", "key").alias("path"), F.xxhash64("key", "p.low", "p.high").alias("key"), "fp")
+    # The pair joins the key; a key only tells the groups of a path apart here.
+    return spread.select("path", F.xxhash64("key", "p.low", "p.high").alias("key"), "fp")
 
 
 def fingerprint_links(
@@ -356,7 +391,8 @@ def fingerprint_links(
 ) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``radius`` bits. The two
     of a ``nearest`` link are that close themselves. With ``known`` components (fp, component,
-    mixed) all close pairs come that are not in one of these."""
+    mixed) not links come, but rows (path, key, fp): all close pairs that are not in one of
+    these are inside the groups of these rows."""
     spark = distinct.sparkSession
     small_batches(spark)
     links = None
@@ -420,6 +456,93 @@ def similar(left: bytes, right: bytes, words: int = SIMILAR_WORDS, least: float
     return common >= least * (len(a) + len(b) - common)
 
 
+def shingle_hashes(text: bytes, words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Distinct hashes of the shingles that ``similar`` compares."""
+    from xxhash import xxh64_intdigest
+
+    parts = text.lower().split()
+    width = min(words, len(parts))
+    texts = (b" ".join(parts[i : i + width]) for i in range(len(parts) - width + 1 if parts else 0))
+    return np.unique(np.fromiter((xxh64_intdigest(t, SEED) for t in texts), np.uint64))
+
+
+def similar_inside(block: dict[str, np.ndarray], starts: np.ndarray, radius: int, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """Links between similar rows of each group ``starts[i]:starts[i + 1]`` that join what is
+    similar among all pairs within the radius. Rows of one component are joined already."""
+    fp, path, part = block["fp"].view(np.uint64), block["path"], block["part"]
+    sizes = np.array([len(x) // 8 for x in block["shingles"]], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    all_ids, ids = np.unique(np.frombuffer(b"".join(block["shingles"]), "<u8"), return_inverse=True)
+    marked = np.zeros(len(all_ids), bool)
+    _, first, component = np.unique(block["component"], return_index=True, return_inverse=True)
+    root = first[component]
+    found: list[tuple[int, int]] = []
+    for left, right in close_pairs(fp, starts, radius):
+        small, large = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
+        keep = (left < right) & (small >= least * large) & (root[left] != root[right])
+        # Of two parts of a group, only pairs across; those of one part meet by themselves.
+        keep &= (block["low"][left] == block["high"][left]) | (part[left] != part[right])
+        keep &= (fp[left] == fp[right]) == (path[left] == ONE_FINGERPRINT)
+        left, right = left[keep], right[keep]
+        apart = path[left] == ONE_FINGERPRINT
+        apart[~apart] = first_meeting(path[left[~apart]], fp[left[~apart]] ^ fp[right[~apart]], radius)
+        order = np.argsort(left[apart], kind="stable")
+        left, right = left[apart][order], right[apart][order]
+        cuts = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left)).tolist() if len(left) else []
+        for low, high in zip(cuts, cuts[1:]):
+            i = int(left[low])
+            own = ids[begins[i] : begins[i] + sizes[i]]
+            marked[own] = True
+            slabs = np.cumsum(sizes[right[low:high]]) // SLAB
+            for slab in np.unique(slabs):
+                others = right[low:high][slabs == slab]
+                others = others[root[others] != root[i]]
+                if not len(others):
+                    continue
+                n = sizes[others]
+                common = np.add.reduceat(marked[ids[ragged(begins[others], n)]], np.cumsum(n) - n, dtype=np.int64)
+                good = others[common >= least * (sizes[i] + n - common)]
+                good = good[np.unique(root[good], return_index=True)[1]]
+                found += [(i, j) for j in good.tolist()]
+                unite(root, np.full(len(good), i), good)
+            marked[own] = False
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
+def links_inside(members: DataFrame, texts: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between similar texts (node, text) in the groups (path, key) of
+    ``members`` (path, key, fp, node, component). A group of many rows or shingles is
+    compared part by part."""
+    keys = ["path", "key", "low", "high"]
+
+    def shingled(batches):
+        for batch in batches:
+            found = [shingle_hashes(t) for t in utf8(batch.column("text"))]
+            columns = [batch.column("node"), pa.array([f.astype("<u8").tobytes() for f in found], pa.binary()), pa.array([len(f) for f in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", "n"])
+
+    def run(batches):
+        for block in groups_in_order(batches, keys, HELD_ROWS):
+            i, j = similar_inside(block, run_starts(block, keys), radius)
+            node = block["node"]
+            ends = [pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    sets = materialize(texts.mapInArrow(shingled, "node long, shingles binary, n long"), "shingles")
+    sized = members.join(sets.select("node", "n"), "node").groupBy("path", "key").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    whole = (F.col("n") <= GROUP_SHINGLES) & (F.col("rows") <= GROUP_ROWS)
+    cut = F.greatest(F.ceil(F.col("n") / (GROUP_SHINGLES // 2)), F.ceil(F.col("rows") / (GROUP_ROWS // 2)))
+    sized = sized.select("path", "key", F.when(whole, F.lit(1)).otherwise(cut).cast("long").alias("parts"))
+    parted = members.join(sized, ["path", "key"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least(j, "part").alias("low"), F.greatest(j, "part").alias("high"))
+    )
+    spread = parted.select("path", "key", "fp", "node", "component", "part", F.inline(pairs))
+    placed = spread.join(sets.drop("n"), "node").repartition(*keys).sortWithinPartitions(*keys)
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_links(links: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``links`` (a, b) whose texts (node, text) are similar."""
     ends = broadcast_if_small(links, BROADCAST_KEYS)
@@ -434,10 +557,9 @@ def similar_links(links: DataFrame, texts: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], ["a", "b"]).mapInArrow(run, "a long, b long")
 
 
-def _texts_of(links: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(node, text): one text of every node that a link names. Texts of one node have the
+def _texts_of(named: DataFrame, nodes: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(node, text): one text of every node that is ``named``. Texts of one node have the
     same words."""
-    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(named, "node").select("node", F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.xxhash64(text_column).alias("_hash"), F.col(text_column).alias("text"))
     wanted = broadcast_if_small(wanted, BROADCAST_KEYS)
@@ -461,19 +583,19 @@ def similar_groups(
     equal = nodes.join(heads, "fp").filter("node <> head")
     links = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(equal.select(F.col("head").alias("a"), F.col("node").alias("b")))
     links = materialize(links, "proposed")
-    good = materialize(similar_links(links, _texts_of(links, nodes, docs, id_column, text_column)), "similar")
+    named = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    good = materialize(similar_links(links, _texts_of(named, nodes, docs, id_column, text_column)), "similar")
     # Forests and heads may pass over a link, so all pairs they leave apart are compared.
     joined = nodes.join(connected_components(good), "node", "left")
     joined = materialize(joined.select("fp", "node", F.coalesce("component", "node").alias("component")), "joined")
     known = joined.groupBy("fp").agg(F.min("component").alias("component"), (F.min("component") < F.max("component")).alias("mixed"))
     known = materialize(known, "known")
-    apart = fingerprint_links(known.select("fp"), radius, known=known)
-    apart = apart.unionAll(known.filter("mixed").select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
-    ends = [joined.select(F.col("fp").alias(e), F.col("node").alias(f"node_{e}"), F.col("component").alias(f"component_{e}")) for e in "ab"]
-    rest = apart.join(ends[0], "a").join(ends[1], "b").filter("component_a <> component_b")
-    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = materialize(rest.join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = similar_links(rest, _texts_of(rest, nodes, docs, id_column, text_column))
+    places = fingerprint_links(known.select("fp"), radius, known=known)
+    mixed = known.filter("mixed").select(F.lit(ONE_FINGERPRINT).cast("long").alias("path"), F.col("fp").alias("key"), "fp")
+    members = materialize(places.unionAll(mixed).distinct().join(joined, "fp"), "members")
+    texts = _texts_of(members.select("node").distinct(), nodes, docs, id_column, text_column)
+    rest = materialize(links_inside(members.select("path", "key", "fp", "node", "component"), texts, radius), "rest")
+    more = similar_links(rest, texts)
     found = connected_components(good.unionAll(more))
     classes = materialize(nodes.join(found, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "classes")
     smallest = classes.groupBy("component").agg(F.min("first").alias("smallest"))

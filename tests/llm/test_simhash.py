@@ -196,3 +196,50 @@ def test_components_of_long_chains_and_stars(spark):
     found = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert found == {**{i: 0 for i in range(301)}, **{i: 1000 for i in range(1000, 1500)}, 2000: 2000, 2001: 2000}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_no_pairs_of_a_family_are_listed(spark, documents, monkeypatch):
+    """Many texts within the radius and few of them similar: links are found in parts of groups,
+    and what is listed and compared again grows with the texts, not with their pairs."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in rng.choices(range(400), k=400)]
+    rows = []
+    for i in range(150):
+        text = base[:]
+        for at in rng.sample(range(400), rng.choice([2, 9, 12, 14])):
+            text[at] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(text), "s"))
+    rows += [(len(rows), "a b c d e f", "s"), (len(rows) + 1, "A  b c d e F", "s"), (len(rows) + 2, "", "s")]
+    listed = []
+    real = simhash.similar_links
+
+    def counted(links, texts):
+        listed.append(links.count())
+        return real(links, texts)
+
+    for name, value in (("similar_links", counted), ("GROUP_ROWS", 40), ("GROUP_SHINGLES", 9000), ("SLAB", 500)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents(rows)).collect()}
+    texts = [t.encode() for _, t, _ in rows]
+    marks = np.array([simhash.fingerprint(t, simhash.CORPUS_WORDS) for t in texts], np.uint64)
+    root, close = np.arange(len(rows)), 0
+    for i in range(len(rows)):
+        near = np.flatnonzero(np.bitwise_count(marks[i] ^ marks) <= simhash.CORPUS_RADIUS)
+        close += int((near > i).sum())
+        near = np.array([j for j in near if j > i and simhash.similar(texts[i], texts[j])], np.int64)
+        simhash.unite(root, np.full(len(near), i), near)
+    assert kept == set(root.tolist()) and 50 < len(kept) < 140
+    assert close > 10 * len(rows) and listed[1] <= 2 * len(rows)
+
+
+def test_each_pair_has_one_group():
+    rng = random.Random(3)
+    bands = 9
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = near(rng, a, rng.randrange(1, 9))
+        paths = [band + 1 for band in range(bands)]
+        deeper = [p * (bands + 1) + band + 1 for p in paths for band in range(bands)]
+        for level in (paths, deeper):
+            both = np.array([p for p in level if not (a ^ b) & simhash.band_masks(simhash._digits(p, bands), bands)[0]], np.int64)
+            assert len(both) and simhash.first_meeting(both, np.full(len(both), a ^ b, np.uint64), 8).sum() == 1
