@@ -111,6 +111,8 @@ def nfkc():
 
 def bounded_text(value: Column, maximum: int) -> Column:
     """NFKC text without control characters, blanks collapsed, cut to ``maximum``."""
-    clean = F.regexp_replace(nfkc()(value), r"\p{C}", "")
+    # Plain ASCII is normalised already and stays out of Python.
+    foreign = F.when(value.rlike(r"[^\x00-\x7F]"), value)
+    clean = F.regexp_replace(F.coalesce(nfkc()(foreign), value), r"\p{C}", "")
     words = F.trim(F.regexp_replace(clean, r"(?U)\s+", " "))
     return F.nullif(F.trim(F.substring(words, 1, maximum)), F.lit(""))

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows of one Arrow batch of whole texts, and its bytes. The stock 10,000 rows of a batch make
+#: a Python worker grow with the texts.
+TEXT_BATCH_ROWS = 256
+TEXT_BATCH_BYTES = 8 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of whole texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every job relies on. UTC makes naive feed epochs UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

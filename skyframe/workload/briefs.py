@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyframe import constants as K
 from skyframe.functions.text import bounded_text
 from skyframe.operators import briefs as B
+from skyframe.session import text_batches
 from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.selection import GROUNDED, GROUNDING_PROBLEM, grounded
@@ -229,5 +230,6 @@ def grounding_digest(spark, folder):
 def bounded_texts(spark, folder):
     """Whole documents made fit for grounding. The given documents hold no character that
     compatibility normalisation replaces, so canonical normalisation is their oracle."""
+    text_batches(spark)
     documents = V.table(spark, folder, "documents")
     return documents.select("doc_id", bounded_text(F.col("text"), 255).alias("bounded"))
