@@ -373,3 +373,32 @@ def test_candidates_are_not_refined_for_their_own_queries(spark, monkeypatch):
     monkeypatch.setattr(screening_run, "refine", refused)
     assert screening.chunk_limits(spark, "/root/testdata/sf0.001").count() >= 0
     assert screening.screening_candidates(spark, "/root/testdata/sf0.001").columns[0] == "chunk"
+
+
+def test_a_close_sample_counts_only_if_no_other_is_nearer(spark):
+    """Of two samples 40 and 30 km apart only the second may be refined, if it is close too."""
+    from skyframe.operators.refinement import at_nearest_sample
+
+    model = Scene(6378.0)
+    prepared = model.prepare(scene_elements(spark, [(1, 7000.0, 0.0, 0.0, 0.0, 0.0, 0.0), (2, 7040.0, 0.0, 0.0, -0.1, 0.0, 0.0)]))
+    step = 100 * P.MICROS
+    rows = [(0, 1, 2, US, 40.0), (1, 1, 2, US + step, 30.0)]
+    close = spark.createDataFrame(rows, "chunk int, a_object_id long, b_object_id long, sample_us long, separation_km double")
+    kept = at_nearest_sample(close, prepared, model, F.array(F.lit(US), F.lit(US + step)))
+    assert [r.chunk for r in kept.collect()] == [1]
+
+
+def test_pairs_that_never_come_close_are_not_written(spark, monkeypatch):
+    from skyframe.plans import screening_run
+    from skyframe.workload import screening
+
+    written = []
+
+    def noted(df, name="stage"):
+        written.append(set(df.columns))
+        return materialize(df, name)
+
+    materialize = screening_run.materialize
+    monkeypatch.setattr(screening_run, "materialize", noted)
+    screening.refine_candidates(spark, "/root/testdata/sf0.001")
+    assert not [columns for columns in written if "detections" in columns]
