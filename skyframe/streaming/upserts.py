@@ -81,8 +81,10 @@ def provider_batch(records: DataFrame, batch_id: int, table: RunTable, elements:
     mapped = gp_elements(matched, source="space-track")
     ids = read_objects(table).select(KEY, F.col("id").alias("object_id"))
     write_new_elements(mapped.join(ids, KEY).drop("ordinal"), batch_id, elements)
-    # Marked after the elements are stored. If the batch runs again, both steps do.
-    marks = mapped.select(KEY, F.lit(False).alias("replaces"), F.lit(True).alias("has_current_elements"))
+    # Marked after the elements are stored. If the batch runs again, both steps do. The numbers
+    # alone say what to mark, so the records are not gathered again.
+    numbers = usable.select(F.col("NORAD_CAT_ID").cast("bigint").alias(KEY)).distinct()
+    marks = table.known(numbers).filter("stored").select(KEY, F.lit(False).alias("replaces"), F.lit(True).alias("has_current_elements"))
     table.write(marks, batch_id)
 
 

@@ -15,19 +15,36 @@ from skyframe.workload.registry import REGISTRY, query
 from skyframe.workload.views import ELEMENTS, OBJECTS, with_views
 
 PARTS = 3
+#: Bytes of a row group of the records: what a task of a batch reads at least.
+ROW_GROUP_BYTES = 4 << 20
 
 
 def work_folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/streams_{spark.sparkContext.applicationId}/{name}_{uuid4().hex[:8]}"
 
 
-def arrivals(records):
-    """The records in parts of their order."""
+def arrivals(records, work: str):
+    """Streams over the records in parts of their order; a part's files land before its stream.
+
+    A part is a stretch of the records, so only some tasks hold it. All parts are written
+    in one pass, and in row groups small enough to be dealt out again.
+    """
+    spark = records.sparkSession
     low, high = records.agg(F.min("ordinal"), F.max("ordinal")).first()
     if low is None:
-        return []
+        return
     part = F.floor((F.col("ordinal") - low) * PARTS / (high - low + 1))
-    return [records.filter(part == i) for i in range(PARTS)]
+    parts = records.withColumn("part", part).write.partitionBy("part").option("parquet.block.size", ROW_GROUP_BYTES)
+    parts.parquet(f"{work}/parts")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(f"{work}/input")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    for i in range(PARTS):
+        if J.path_exists(spark, f"{work}/parts/part={i}"):
+            if not system.rename(hadoop.Path(f"{work}/parts/part={i}"), hadoop.Path(target, str(i))):
+                raise OSError(f"part {i} of {work} cannot be moved to its input folder")
+            yield spark.readStream.schema(records.schema).parquet(f"{work}/input/*")
 
 
 def _upserted(spark, folder, name, records, changes):
@@ -35,9 +52,7 @@ def _upserted(spark, folder, name, records, changes):
     work = work_folder(spark, name)
     table = U.object_table(spark, f"{work}/objects")
     U.load_objects(table, V.objects(spark, folder))
-    for part in arrivals(records):
-        part.write.mode("append").parquet(f"{work}/input")
-        stream = spark.readStream.schema(records.schema).parquet(f"{work}/input")
+    for stream in arrivals(records, work):
         U.upsert_stream(stream, changes, table, f"{work}/state").awaitTermination()
     return U.read_objects(table)
 
@@ -72,9 +87,7 @@ def stream_provider_sync(spark, folder):
     absent = {c: F.lit(None).cast("int") for c in ("element_set_no", "rev_at_epoch")}
     J.write_new_elements(V.elements(spark, folder).withColumns(absent), -1, f"{work}/elements")
     records = gp_records(spark, folder)
-    for part in arrivals(records):
-        part.write.mode("append").parquet(f"{work}/input")
-        stream = spark.readStream.schema(records.schema).parquet(f"{work}/input")
+    for stream in arrivals(records, work):
         U.provider_stream(stream, table, f"{work}/elements", f"{work}/state").awaitTermination()
     stored = spark.read.option("mergeSchema", True).parquet(f"{work}/elements").filter("batch_id >= 0")
     return stored.select("object_id", F.unix_micros("epoch").alias("epoch_us"), *ELEMENT_NUMBERS)

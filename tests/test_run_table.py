@@ -104,3 +104,20 @@ def test_parts_on_a_stream_equal_one_batch(spark, work, records_of, to_objects,
     want = upsert(objects, to_objects(records))
     got = U.read_objects(table).select(want.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_parts_arrive_in_order_and_can_be_dealt_out_again(spark, work):
+    """A part is a stretch of the records, but its files hold row groups for several tasks."""
+    from skyframe.workload.upsert_streams import PARTS, arrivals
+
+    records = spark.range(0, 300_000, 1, 1).select(F.col("id").alias("ordinal"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    landed, groups = [], []
+    for stream in arrivals(records, work):
+        assert stream.isStreaming and stream.columns == records.columns
+        found = spark.read.parquet(f"{work}/input/*")
+        landed.append(found.agg(F.max("ordinal")).first()[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 20))
+        groups.append(found.groupBy(F.spark_partition_id()).count().count())
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert landed == [100_000 * (i + 1) - 1 for i in range(PARTS)]
+    assert min(groups) > 1 and found.distinct().count() == 300_000
