@@ -120,21 +120,23 @@ class KeplerJ2:
             "_cw * $k_sini AS _zb",
         ]
         fields = [
-            f"_{axis}a * _p{kind}x + _{axis}b * _p{kind}y AS {out}{kind}{axis}"
+            f"_{axis}a * _p{kind}x + _{axis}b * _p{kind}y AS _out_{kind}{axis}"
             for kind in ("", "v")
             for axis in "xyz"
         ]
         fields.append(
             "CASE WHEN _r IS NULL THEN 'elements outside the model''s range' "
             f"WHEN NOT _residual <= {RESIDUAL_LIMIT!r}D THEN 'anomaly did not converge' "
-            f"WHEN _r < {K.WGS72_RADIUS_KM!r}D THEN 'object has decayed' END AS {out}error"
+            f"WHEN _r < {K.WGS72_RADIUS_KM!r}D THEN 'object has decayed' END AS _out_error"
         )
         # The state comes out of a one-row generator. A filter on a state column
         # then stays above it; pushed down through the steps, it would be rewritten
-        # over all of them at once and grow beyond any use.
+        # over all of them at once and grow beyond any use. Its fields are worked out
+        # before, as a generator outside of whole-stage code is interpreted.
         kept = df.columns
-        worked = df.selectExpr("*", *[step.replace("$", prefix) for step in steps])
-        return worked.selectExpr(*kept, f"inline(array(struct({', '.join(fields)})))")
+        worked = df.selectExpr("*", *[step.replace("$", prefix) for step in steps]).selectExpr(*kept, *fields)
+        named = ", ".join(f"_out_{c} AS {out}{c}" for c in (*STATE, "error"))
+        return worked.selectExpr(*kept, f"inline(array(struct({named})))")
 
 
 class StraightLine:

@@ -567,7 +567,9 @@ class Sgp4:
         ).selectExpr("*", f"{mark}walked.l AS {mark}xli", f"{mark}walked.m AS {mark}xni", f"CAST({mark}n AS DOUBLE) AS {mark}whole_steps")
         for level in levels(last):
             rows = rows.selectExpr("*", *[f"{write(x)} AS {mark}{name}" for name, x in level])
-        fields = [f"{write(x)} AS {out}{name}" for name, x in FIELDS.items()]
-        fields.append(f"{error_text(mark + 'code')} AS {out}error")
+        fields = {name: write(x) for name, x in FIELDS.items()} | {"error": error_text(mark + "code")}
+        # Worked out before the generator: outside of whole-stage code it is interpreted.
+        rows = rows.selectExpr(*kept, *[f"{x} AS {mark}out_{name}" for name, x in fields.items()])
         # A one-row generator keeps filters on a state from being rewritten over all steps.
-        return rows.selectExpr(*kept, f"inline(array(struct({', '.join(fields)})))")
+        named = ", ".join(f"{mark}out_{name} AS {out}{name}" for name in fields)
+        return rows.selectExpr(*kept, f"inline(array(struct({named})))")

@@ -68,6 +68,17 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of few bytes that mean much work each, dealt out over a fixed number of parts.
+
+    Parts of a plain exchange are merged by their bytes, down to one a core or one more,
+    which then runs alone after the others.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast only after counting that ``df`` holds at most ``max_rows`` rows.
 

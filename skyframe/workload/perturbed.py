@@ -15,6 +15,7 @@ from skyframe.functions import sgp4 as G
 from skyframe.functions.orbit import STATE
 from skyframe.operators import propagation as P
 from skyframe.operators import selection as Sel
+from skyframe.session import spread
 from skyframe.workload import views as V
 from skyframe.workload.registry import query
 from skyframe.workload.screening import HORIZON, LATEST, STATE_NAMES, STEP, nested
@@ -105,8 +106,7 @@ def model_states_sql(name: str, source: str, kept: str) -> str:
 
 def rounded(name: str):
     """To four places, without a negative zero."""
-    value = F.round(name, 4)
-    return F.when(value == 0, 0.0).otherwise(value)
+    return F.round(name, 4) + F.lit(0.0)
 
 
 def rounded_sql(name: str) -> str:
@@ -153,7 +153,9 @@ GRID_STATES = model_states_sql("model_states", "live_grid", "object_id, sample_i
 )
 def perturbed_grid(spark, folder):
     """H4 with the full model over the screening grid."""
-    gridded = P.on_grid(MODEL.prepare(latest(spark, folder)), V.NOW, HORIZON, STEP)
+    # Not by the key of the latest elements: that exchange would do, and its parts are merged.
+    elements = spread(latest(spark, folder), "object_id", "element_id")
+    gridded = P.on_grid(MODEL.prepare(elements), V.NOW, HORIZON, STEP)
     states = P.propagate_grid(gridded, MODEL)
     return states.withColumns({c: F.when(F.col("error").isNull(), rounded(c)) for c in STATE})
 

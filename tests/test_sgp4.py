@@ -130,3 +130,11 @@ def test_screening_with_the_model(spark):
     assert 0.3 < events[0]["miss_distance_km"] < 0.7
     counters = result.counters.first()
     assert counters["propagation_attempts"] == 33 and counters["propagation_failures"] == 0
+
+
+def test_the_grid_is_worked_out_in_more_parts_than_cores(spark):
+    from skyframe.workload import perturbed
+
+    rows = perturbed.perturbed_grid(spark, "/root/testdata/sf0.001")
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(parts) > 2 * spark.sparkContext.defaultParallelism
