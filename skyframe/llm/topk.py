@@ -7,8 +7,10 @@ the sum over dimensions of the better of its two ends. The tree is searched best
 first, and a box that cannot reach the kth score found so far is closed; that kth score
 is carried on from tree to tree, so later shards are entered with a high bound.
 
-Queries come in blocks and each block meets every shard once. A task holds one tree and
-one block. Per query, k rows a task go to the shuffle.
+Queries come in blocks and each block meets every shard once. A lane of a few shards goes to one
+task, which builds its trees once and lets the blocks pass: it holds one lane and one block, and
+no join is planned that could send the blocks through the driver. Per query, k rows a lane go to
+the shuffle.
 
 Scores are exact: whole numbers below 2^53 are multiplied as doubles; where larger ones
 could come up, Python numbers are used, and a score beyond 64 bits is cut to its limit.
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skyframe.llm.common import small_batches
-from skyframe.session import materialize
+from skyframe.session import materialize, spread
 
 SCALE = 1024.0
 K = 10
 LEAF = 64
-#: Vectors of one tree, queries of one block, trees that one task searches in a row.
+#: Vectors of one tree, queries of one block, trees of a lane, which one task searches in a row.
 SHARD_ROWS = 2048
 BLOCK_QUERIES = 1024
 LANE_TREES = 4
@@ -164,9 +166,9 @@ def _blob(keys: list[str], held: dict[tuple, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[*keys, "ids", "marks", "numbers"])
 
 
-def _numbers(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, marks = (np.frombuffer(row[f"{prefix}{n}"], np.int64) for n in ("ids", "marks"))
-    return ids, marks, np.frombuffer(row[f"{prefix}numbers"], np.float64).reshape(len(ids), row["dim"])
+def _numbers(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, marks = (np.frombuffer(row[n], np.int64) for n in ("ids", "marks"))
+    return ids, marks, np.frombuffer(row["numbers"], np.float64).reshape(len(ids), row["dim"])
 
 
 def top_k(
@@ -182,37 +184,37 @@ def top_k(
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     placed = rows.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int"))
-    trees = materialize(_blobs(placed, ["dim", "shard"], SHARD_ROWS), "trees")
+    trees = _blobs(placed, ["dim", "shard"], SHARD_ROWS)
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("mark", F.lit(3)), F.lit(blocks)).cast("int"))
     queries = _blobs(dealt, ["dim", "block"], BLOCK_QUERIES)
-    queries = queries.select("dim", "block", *[F.col(c).alias(f"q_{c}") for c in ("ids", "marks", "numbers")])
     lanes = -(-shards // LANE_TREES)
-    queries = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = trees.withColumn("lane", F.pmod("shard", F.lit(lanes))).join(queries, ["dim", "lane"])
-    met = met.repartition("dim", "block", "lane").sortWithinPartitions("dim", "block", "lane")
+    blob = ["ids", "marks", "numbers"]
+    trees = trees.select("dim", F.pmod("shard", F.lit(lanes)).alias("lane"), F.lit(0).alias("asks"), *blob)
+    queries = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(1).alias("asks"), *blob)
+    met = spread(trees.unionByName(queries), "dim", "lane").sortWithinPartitions("dim", "lane", "asks")
 
     def run(batches):
-        key, best, ids, marks = None, [], None, None
+        lane, trees = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                now = (row["dim"], row["block"], row["lane"])
-                query_ids, query_marks, asked_for = _numbers(row, "q_")
-                if now != key:
-                    if best:
-                        yield _answers(ids, marks, best)
-                    key, best, ids, marks = now, [[] for _ in query_ids], query_ids, query_marks
-                own_ids, own_marks, points = _numbers(row, "")
-                tree = Tree(own_ids, points)
-                most = float(np.abs(points).max(initial=0)) * float(np.abs(asked_for).max(initial=0)) * row["dim"]
-                exact = most < EXACT
-                bounds = tree.bounds(asked_for)
-                if not exact:  # doubles round: no box is closed too early
-                    bounds = bounds + np.abs(bounds) * 1e-9 + 1.0
-                place = {m: i for i, m in enumerate(own_marks.tolist())}
-                for i, mark in enumerate(query_marks.tolist()):
-                    tree.search(asked_for[i], place.get(mark, -1), bounds[i], k, best[i], exact)
-        if best:
-            yield _answers(ids, marks, best)
+                if (row["dim"], row["lane"]) != lane:
+                    lane, trees = (row["dim"], row["lane"]), []
+                ids, marks, points = _numbers(row)
+                if not row["asks"]:
+                    place = {m: i for i, m in enumerate(marks.tolist())}
+                    trees.append((Tree(ids, points), place, float(np.abs(points).max(initial=0))))
+                    continue
+                best: list[list[tuple[int, int]]] = [[] for _ in ids]
+                largest = float(np.abs(points).max(initial=0))
+                for tree, place, size in trees:
+                    exact = size * largest * row["dim"] < EXACT
+                    bounds = tree.bounds(points)
+                    if not exact:  # doubles round: no box is closed too early
+                        bounds = bounds + np.abs(bounds) * 1e-9 + 1.0
+                    for i, mark in enumerate(marks.tolist()):
+                        tree.search(points[i], place.get(mark, -1), bounds[i], k, best[i], exact)
+                if trees:
+                    yield _answers(ids, marks, best)
 
     found = met.mapInArrow(run, "query_id long, mark long, vec_id long, score long")
     order = W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")

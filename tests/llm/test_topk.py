@@ -63,3 +63,12 @@ def test_box_bounds_hold():
     for node, rows in enumerate(tree.rows):
         if rows is not None:
             assert ((queries @ points[rows].T).max(1) <= bounds[:, node]).all()
+
+
+def test_queries_of_all_lanes_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(rng.standard_normal((600, 8)))]
+    best = topk.top_k(spark.createDataFrame(rows, SCHEMA), 20)
+    assert sorted(tuple(r) for r in best.collect()) == brute(rows, 20, 10)
+    assert "BroadcastExchange" not in best._jdf.queryExecution().executedPlan().toString()
