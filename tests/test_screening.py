@@ -402,3 +402,18 @@ def test_pairs_that_never_come_close_are_not_written(spark, monkeypatch):
     monkeypatch.setattr(screening_run, "materialize", noted)
     screening.refine_candidates(spark, "/root/testdata/sf0.001")
     assert not [columns for columns in written if "detections" in columns]
+
+
+def test_slack_is_judged_after_the_distance(spark):
+    near = spark.range(60).selectExpr(
+        "id AS object_id", "0L AS sample_us", "7000.0D + id % 7 AS x", "id * 2.0D AS y", "id % 5 * 3.0D AS z",
+        "id % 3 - 1.0D AS vx", "id % 4 - 1.5D AS vy", "id % 5 - 2.0D AS vz", "id DIV 4 AS solution_id",
+    )
+    pairs = fixed_radius_pairs(near, 30.0, payload=(*S.VELOCITY, "solution_id"), hot_cell_rows=None)
+    plain = S.prefilter_slack_km(pairs, 5.0).withColumn("shared", S.same_solution())
+    expected = sorted(tuple(r) for r in plain.collect() if r.slack_km <= 10.0)
+    kept = S.within_slack(pairs, 5.0, 10.0, shared=True).filter("NOT shared").select(plain.columns)
+    assert sorted(tuple(r) for r in kept.collect()) == [r for r in expected if not r[-1]] != []
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join Inner" in line)
+    assert "SQRT" not in join and "solution_id" not in join
