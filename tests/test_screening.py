@@ -417,3 +417,22 @@ def test_slack_is_judged_after_the_distance(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join Inner" in line)
     assert "SQRT" not in join and "solution_id" not in join
+
+
+def test_refined_pairs_meet_their_elements_once_and_no_episodes(spark, monkeypatch):
+    from skyframe.plans import screening_run
+    from skyframe.workload import screening
+
+    joined, both = [], screening_run.with_both_elements
+
+    def counted(*args):
+        joined.append(args)
+        return both(*args)
+
+    def refused(*args, **options):
+        raise AssertionError("episodes")
+
+    monkeypatch.setattr(screening_run, "with_both_elements", counted)
+    monkeypatch.setattr(screening_run, "merge_episodes", refused)
+    assert screening.refine_candidates(spark, "/root/testdata/sf0.001").count() >= 0
+    assert len(joined) == 1
